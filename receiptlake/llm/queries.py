@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import overlap, splits
+from . import overlap, packing, splits, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,8 +33,25 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(rows, names)
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encoded(table(spark, d, "documents"))
+
+
+def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    got = table(spark, d, "documents").select("source", "text", tokens.token_ids("text").alias("ids")).select("source", "text", "ids", tokens.decoded("ids").alias("back"))
+    return got.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.size("ids")).alias("n_tokens"), F.sum(F.when(F.col("back") == F.coalesce("text", F.lit("")), 1).otherwise(0)).alias("n_same"))
+
+
+def p9_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), "doc_id", tokens.token_count("text"))
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(p9_packed(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_report, p4_found, p4_report)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_report, p4_found, p4_report, p8_ids, p8_round_trip, p9_packed, p9_report)}
 
 
 def oracle_sql() -> dict[str, str]:

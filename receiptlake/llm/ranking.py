@@ -1,0 +1,26 @@
+"""Ranks within classes of any size, without one task ever ordering a whole class."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+#: Rows that one window partition holds, about.
+BUCKET = 50_000
+
+
+def ranked(df: DataFrame, classes: list[str], key: str, n: int, bucket_rows: int = BUCKET) -> DataFrame:
+    """df with ``rank``, from 1, within each class, in an order of hashes of key (unique in df); n: about the rows of df.
+
+    Rows fall into buckets by hash. The counts of classes and buckets, summed in order, give the first rank of a bucket;
+    a window orders within it. A class that a third of all rows have is spread over all buckets.
+    """
+    buckets = max(1, -(-n // bucket_rows))
+    placed = df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    order = Window.partitionBy(*classes, "_b").orderBy(F.xxhash64(key, F.lit(7)), key)
+    if buckets == 1:
+        return placed.withColumn("rank", F.row_number().over(order).cast("long")).drop("_b")
+    counts = placed.groupBy(*classes, "_b").agg(F.count("*").alias("_n"))
+    before = counts.select(*classes, "_b", (F.sum("_n").over(Window.partitionBy(*classes).orderBy("_b")) - F.col("_n")).alias("_before"))
+    return placed.withColumn("_r", F.row_number().over(order)).join(before, [*classes, "_b"]).withColumn("rank", F.col("_r") + F.col("_before")).drop("_b", "_r", "_before")

@@ -7,15 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import cut
 from . import imagenames
+from .ranking import ranked
 from .unionfind import components
 
 TARGETS = {"train": 0.8, "val": 0.1, "test": 0.1}
-#: Groups of a class are ranked in buckets of about this many groups.
-BUCKET = 50_000
 
 
 def _originals(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -95,24 +93,17 @@ def assigned(members: DataFrame, stratum: str | None = None, targets: dict[str,
 
     A group counts for the stratum that most of its records have (the least name on a tie); null is a stratum too. Groups
     of one stratum and size form a class; only the classes go to the driver, of which there are at most strata times the
-    root of twice the records, since sizes differ and add up to the records. Within a class groups are ranked by hash:
-    counts by bucket give each bucket its first rank, and a window orders one bucket of about ``BUCKET`` groups.
+    root of twice the records, since sizes differ and add up to the records. Within a class groups are ranked by hash.
     """
     spark = members.sparkSession
     s = F.coalesce(F.col(stratum).cast("string"), F.lit("\x00null")) if stratum else F.lit("")
     per = members.select("grp", s.alias("s")).groupBy("grp", "s").agg(F.count("*").alias("n"))
     groups = cut(per.groupBy("grp").agg(F.sum("n").alias("size"), F.max(F.struct("n", F.expr("s"))).alias("m"), F.min_by("s", F.struct(-F.col("n"), "s")).alias("stratum")).select("grp", "size", "stratum"), "groups")
     n = groups.count()
-    buckets = max(1, -(-n // BUCKET))
-    placed = groups.withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(buckets)))
-    counts = placed.groupBy("stratum", "size", "bucket").agg(F.count("*").alias("n"))
-    classes = [(r[0], r[1], r[2]) for r in counts.groupBy("stratum", "size").agg(F.sum("n")).collect()]
-    before = counts.select("stratum", "size", "bucket", (F.sum("n").over(Window.partitionBy("stratum", "size").orderBy("bucket")) - F.col("n")).alias("before"))
-    w = Window.partitionBy("stratum", "size", "bucket").orderBy(F.xxhash64("grp", F.lit(7)), "grp")
-    ranked = placed.withColumn("_r", F.row_number().over(w)).join(before, ["stratum", "size", "bucket"]).withColumn("rank", F.col("_r") + F.col("before"))
+    classes = [(r[0], r[1], r[2]) for r in groups.groupBy("stratum", "size").agg(F.count("*")).collect()]
     share = spark.createDataFrame(quotas(classes, targets), "q_stratum string, q_size long, split string, first long, last long")
     on = (F.col("stratum") == F.col("q_stratum")) & (F.col("size") == F.col("q_size")) & F.col("rank").between(F.col("first"), F.col("last"))
-    return ranked.join(share, on).select("grp", "split")
+    return ranked(groups, ["stratum", "size"], "grp", n).join(share, on).select("grp", "split")
 
 
 def image_links(path: str) -> dict[str, Column]:
