@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import overlap, packing, splits, tokens
+from . import overlap, packing, splits, tokens, truncation
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,8 +50,16 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(p9_packed(spark, d))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.endings(table(spark, d, "documents")).where("cut").select("doc_id")
+
+
+def p10_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.report(truncation.endings(table(spark, d, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_report, p4_found, p4_report, p8_ids, p8_round_trip, p9_packed, p9_report)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_report, p4_found, p4_report, p8_ids, p8_round_trip, p9_packed, p9_report, p10_found, p10_report)}
 
 
 def oracle_sql() -> dict[str, str]:
