@@ -24,11 +24,9 @@ LONGEST_WORD = 30
 
 def tail_of(text: Column) -> Column:
     """The text without what may stand behind its end: blanks, closing tags, symbols and invisible marks."""
-    return F.regexp_replace(text, r"(?:</?\w+\s*/?>|[\p{So}\p{Sk}\p{Cf}\p{Mn}&&[^ा-्\p{InDevanagari}�]]|[\p{Z}\s\x{FE0F}\x{1F3FB}-\x{1F3FF}])+$", "")
-
-
-def _last_line(tail: Column) -> Column:
-    return F.regexp_extract(tail, r"([^\r\n]*)$", 1)
+    behind = r"</?\w+\s*/?>|[\p{So}\p{Sk}\p{Cf}&&[^\x{FFFD}]]|[\p{Z}\s\x{FE0F}\x{1F3FB}-\x{1F3FF}]"
+    first = r"(?<![\p{Z}\s\p{Cf}])"  # a run is only tried where it starts, so that the time is linear
+    return F.regexp_replace(text, rf"{first}(?:{behind})++$", "")
 
 
 def _plain(text: Column) -> Column:
@@ -87,17 +85,18 @@ def endings(df: DataFrame, key: str = "doc_id", text: str = "text", kind: str =
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(kind), F.lit("")).alias("kind"), F.col(source).alias("source"))
     full = docs.where(F.length(F.trim(F.regexp_replace("text", r"[\p{Z}\s\p{Cf}]+", " "))) > 0)
     tail = tail_of(F.col("text"))
-    at = full.select("key", "kind", "source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), tail.alias("tail"), F.regexp_like("text", F.lit("�[\\s]*$")).alias("broken"))
-    line = _last_line(F.col("tail"))
-    signed = F.regexp_like(_plain(F.col("tail")), F.lit(r"(?:^|[\r\n])[\p{Z}\s]*(?:" + "|".join(SIGNING) + r")[\p{Z}\s]*[,.!]?[\p{Z}\s]*[\r\n]+[\p{Z}\s]*[\p{L}\p{M}.'-]+(?:[\p{Z} ]+[\p{L}\p{M}.'-]+){0,2}$"))
+    at = full.select("key", "kind", "source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), tail.alias("tail"), F.regexp_like("text", F.lit(r"\x{FFFD}\s*+$")).alias("broken"))
+    lines = F.split("tail", r"[\r\n]+")
+    at = at.select("key", "kind", "source", "n_chars", "n_bytes", "broken", F.try_element_at(lines, F.lit(-2)).alias("before"), F.try_element_at(lines, F.lit(-1)).alias("tail"))
+    signed = F.regexp_like(_plain(F.concat(F.coalesce("before", F.lit("")), F.lit("\n"), F.col("tail"))), F.lit(r"(?:^|[\r\n])[\p{Z}\s]*(?:" + "|".join(SIGNING) + r")[\p{Z}\s]*[,.!]?[\p{Z}\s]*[\r\n]+[\p{Z}\s]*[\p{L}\p{M}.'-]+(?:[\p{Z} ]+[\p{L}\p{M}.'-]+){0,2}$"))
     at = cut(
         at.select(
             "key", "kind", "source", "n_chars", "n_bytes", "broken",
             F.regexp_like("tail", F.lit(rf"(?:\.\.\.|…)[{CLOSERS}]*$")).alias("ellipsis"),
             F.regexp_like("tail", F.lit(rf"[{TERMINATORS}][{CLOSERS}]*$")).alias("ended"),
             signed.alias("signed"),
-            _shape(line).alias("line"),
-            F.lower(F.regexp_extract("tail", r"([\p{L}\p{M}]+)$", 1)).alias("word"),
+            _shape(F.col("tail")).alias("line"),
+            F.lower(F.regexp_extract("tail", r"(?<![\p{L}\p{M}])([\p{L}\p{M}]++)$", 1)).alias("word"),
             F.regexp_like("tail", F.lit(r"(?:RM|MYR|£|\$|GBP|USD|AUD|SGD)\s?\d{1,3}(?:,\d{3})*\.$")).alias("amount"),
         ),
         "endings",
