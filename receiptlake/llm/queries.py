@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import names, overlap, packing, splits, tokens, truncation
+from . import addresses, names, overlap, packing, splits, tokens, truncation
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +33,14 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(rows, names)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.pairs(addresses.places(table(spark, d, "sroie_entities")))
+
+
+def p5_places(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.places(table(spark, d, "sroie_entities"))
+
+
 def _organisations(spark: SparkSession, d: str) -> DataFrame:
     return names.organisations(names.names_of(table(spark, d, "receipts_master").select("merchant"), table(spark, d, "sroie_entities").select("company")))
 
@@ -71,7 +79,7 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_report, p4_found, p4_report, p6_found, p6_members, p8_ids, p8_round_trip, p9_packed, p9_report, p10_found, p10_report)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_report, p4_found, p4_report, p5_found, p5_places, p6_found, p6_members, p8_ids, p8_round_trip, p9_packed, p9_report, p10_found, p10_report)}
 
 
 def oracle_sql() -> dict[str, str]:
