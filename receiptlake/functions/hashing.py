@@ -11,8 +11,12 @@ def median_bits(values: Column) -> Column:
     ordered = F.array_sort(F.transform(values, lambda x: x.cast("double")))
     n = F.size(ordered)
     mid = (F.try_element_at(ordered, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(ordered, F.floor(n / 2 + 1).cast("int"))) / 2
-    bits = F.transform(values, lambda x, i: F.when(x.cast("double") > mid, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
+
+    def packed(m: Column) -> Column:
+        bits = F.transform(values, lambda x, i: F.when(x.cast("double") > m, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
+
+    return F.element_at(F.transform(F.array(mid), packed), 1)  # the median is bound once, not sorted again for each value
 
 
 def from_hex(h: Column) -> Column:

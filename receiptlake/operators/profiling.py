@@ -71,12 +71,12 @@ def moments(df: DataFrame, by: str, value: Column) -> DataFrame:
     v = value.cast("double")
     return df.groupBy(F.col(by).alias("grp")).agg(
         F.count(v).alias("n"),
-        F.round(F.avg(v), 4).alias("mean"),
+        F.round(F.avg(v), 6).alias("mean"),
         F.round(F.stddev_samp(v), 4).alias("sd"),
         F.round(1.96 * F.stddev_samp(v) / F.sqrt(F.count(v).cast("double")), 4).alias("ci95"),
         F.round(F.max(v) - F.min(v), 4).alias("range"),
-        F.round(F.percentile(v, F.lit(0.5)), 4).alias("p50"),
-        F.round(F.percentile(v, F.lit(0.95)), 4).alias("p95"),
+        F.round(F.percentile(v, F.lit(0.5)), 6).alias("p50"),
+        F.round(F.percentile(v, F.lit(0.95)), 6).alias("p95"),
     )
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import general
+from . import analytics, general, quality, scalars
 
-_PARTS = [general]
+_PARTS = [general, scalars, analytics, quality]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
