@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import postal
+from .groups import HELD, by_group, salted
 from .orgnames import damerau
 
 #: A rewrite is kept if it was seen in this many places, if its likelihood ratio is at least this (p < 0.001), and if it is
@@ -62,24 +63,12 @@ def _mined(rows: list[tuple[str, str, list[str]]], roads: bool) -> set[tuple[str
     return found
 
 
-def _mine(roads: bool):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, rows, out = None, [], Counter()
-        for pdf in parts:
-            for k, road, post, words in zip(pdf["key"], pdf["road"], pdf["post"], pdf["words"]):
-                if k != key:
-                    if len(rows) > 1:
-                        out.update(_mined(rows, roads))
-                    key, rows = k, []
-                rows.append((road, post, list(words)))
-            if len(out) > 50_000:
-                yield pd.DataFrame([(a, b, n) for (a, b), n in out.items()], columns=["a", "b", "n"])
-                out = Counter()
-        if len(rows) > 1:
-            out.update(_mined(rows, roads))
-        yield pd.DataFrame([(a, b, n) for (a, b), n in out.items()], columns=["a", "b", "n"])
+def _mined_words(rows: list[tuple]) -> list[tuple]:
+    return [(a, b, 1) for a, b in _mined(rows, False)] if len(rows) > 1 else []
 
-    return run
+
+def _mined_roads(rows: list[tuple]) -> list[tuple]:
+    return [(a, b, 1) for a, b in _mined(rows, True)] if len(rows) > 1 else []
 
 
 def rewrites(read: DataFrame) -> DataFrame:
@@ -93,13 +82,14 @@ def rewrites(read: DataFrame) -> DataFrame:
     by_road = full.where("road <> ''").select(F.concat_ws("#", "unit", "section", "road").alias("key"), "road", "post", "words")
     by_post = full.where("length(post) = 5 AND road <> ''").select(F.concat_ws("#", "unit", "section", "post").alias("key"), "road", "post", "words")
     schema = "a string, b string, n long"
-    seen = by_road.repartition("key").sortWithinPartitions("key").mapInPandas(_mine(False), schema).union(by_post.repartition("key").sortWithinPartitions("key").mapInPandas(_mine(True), schema))
+    columns = ["road", "post", "words"]
+    seen = by_group(salted(by_road, "key"), ["key", "part"], columns, _mined_words, schema).union(by_group(salted(by_post, "key"), ["key", "part"], columns, _mined_roads, schema))
     pairs = cut(seen.where("length(a) > 1 AND length(b) > 1").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
     of_a = pairs.groupBy("a").agg(F.sum("n").alias("na"))
     of_b = pairs.groupBy("b").agg(F.sum("n").alias("nb"))
     words = read.select(F.explode(F.concat("words", F.array("road"))).alias("w")).groupBy("w").agg(F.count("*").alias("f"))
-    total = pairs.agg(F.sum("n").alias("nn"))
-    c = pairs.where(f"n >= {SUPPORT}").join(of_a, "a").join(of_b, "b").join(words.select(F.col("w").alias("a"), F.col("f").alias("fa")), "a").join(words.select(F.col("w").alias("b"), F.col("f").alias("fb")), "b").crossJoin(F.broadcast(total))
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    c = pairs.where(f"n >= {SUPPORT}").join(of_a, "a").join(of_b, "b").join(words.select(F.col("w").alias("a"), F.col("f").alias("fa")), "a").join(words.select(F.col("w").alias("b"), F.col("f").alias("fb")), "b").withColumn("nn", F.lit(total))
 
     def term(k: str, row: str, col: str) -> str:
         return f"(CASE WHEN ({k}) > 0 THEN ({k}) * ln(({k}) * nn / (({row}) * ({col}))) ELSE 0 END)"
@@ -151,7 +141,7 @@ def located(rows: list[tuple[str, str, str, tuple[str, ...]]]) -> list[tuple[str
     index, places, out = _Roads(), [], []
     exact: dict[str, list[int]] = defaultdict(list)
     by_post: dict[str, list[int]] = defaultdict(list)
-    for address, road, post, words in sorted(rows, key=lambda r: (-often[r[1]], r[1], -len(r[3]), r[0])):
+    for address, road, post, words in sorted(((a, r, p, tuple(w)) for a, r, p, w in rows), key=lambda r: (-often[r[1]], r[1], -len(r[3]), r[0])):
         own = {w for w in words if w not in KINDS and len(w) > 2}
         hit = None
         for i in exact[road]:
@@ -188,18 +178,18 @@ def located(rows: list[tuple[str, str, str, tuple[str, ...]]]) -> list[tuple[str
     return out
 
 
-def _locate(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    key, rows, out = None, [], []
-    for pdf in parts:
-        for k, address, road, post, words in zip(pdf["key"], pdf["address"], pdf["road"], pdf["post"], pdf["words"]):
-            if k != key:
-                out += located(rows)
-                key, rows = k, []
-            rows.append((address, road, post, tuple(words)))
-        if len(out) > 10_000:
-            yield pd.DataFrame(out, columns=["address", "place"])
-            out = []
-    yield pd.DataFrame(out + located(rows), columns=["address", "place"])
+def _located(groups: DataFrame, held: int = HELD) -> DataFrame:
+    """(address, place) of (key, address, road, post, words). A group too large for a task is read in parts; the first
+    addresses of their places then meet, and the places of one stand for those of the other."""
+    columns, schema = ["address", "road", "post", "words"], "address string, place string"
+    parts = cut(salted(groups, "key", held), "groups")
+    first = cut(by_group(parts, ["key", "part"], columns, located, schema), "places")
+    large = parts.where("part > 0")
+    if large.isEmpty():
+        return first
+    heads = large.join(first.select(F.col("place").alias("address")).distinct(), "address", "left_semi")
+    again = by_group(heads, ["key"], columns, located, schema).select(F.col("address").alias("_a"), F.col("place").alias("_p"))
+    return first.join(again, F.col("place") == F.col("_a"), "left").select("address", F.coalesce("_p", "place").alias("place"))
 
 
 def places(df: DataFrame, key: str = "entity_id", address: str = "address", rounds: int = ROUNDS) -> DataFrame:
@@ -207,7 +197,7 @@ def places(df: DataFrame, key: str = "entity_id", address: str = "address", roun
 
     Number, letter and floor of the unit, and the section of the road, must be the same. Only distinct texts are read,
     mined and compared; rows join their text at the end. Groups of texts are those of one unit and section, sorted into
-    partitions and compared by index, a hot one in time linear in its texts. Null, empty and blank addresses have no
+    partitions and compared by index, in time linear in their texts; a hot one is cut into parts. Null, empty and blank addresses have no
     place and give no row. An address without number or road only equals addresses of the same words.
     """
     rows = df.select(F.col(key).alias("key"), F.col(address).alias("address")).where("length(trim(address)) > 0")
@@ -221,7 +211,7 @@ def places(df: DataFrame, key: str = "entity_id", address: str = "address", roun
         read = cut(_apply(read, new), "rewritten")
     same = F.concat_ws(" ", F.lit("="), "section", "road", "post", F.array_join(F.sort_array("words"), " "))
     k = F.when((F.col("unit") == "") | (F.col("road") == ""), same).otherwise(F.concat_ws("#", "unit", "section"))
-    got = read.select(k.alias("key"), "address", "road", "post", "words").repartition("key").sortWithinPartitions("key").mapInPandas(_locate, "address string, place string")
+    got = _located(read.select(k.alias("key"), "address", "road", "post", "words"))
     return rows.join(got, "address").select(F.col("key").alias(key), "place")
 
 
