@@ -58,14 +58,12 @@ MAJOR = {
 MINOR = {
     "MYR": ["sen"],
     "INR": ["paise", "paisa"],
-    "GBP": ["pence", "penny"],
+    "GBP": ["pence", "penny", "p"],
     "USD": ["us cent", "us cents"],
     "AUD": ["aust. cent", "aust. cents", "australian cents"],
     "SGD": ["sing. cent", "sing. cents", "singapore cents"],
-    SOURCE: ["c", "¢", "cent", "cents", "p"],
+    SOURCE: ["c", "¢", "cent", "cents"],
 }
-#: 'p' is written for the hundredth of these only.
-P_OF = ("GBP", "INR")
 SCALES = {
     "k": 1000, "thousand": 1000, "thousands": 1000, "rb": 1000, "ribu": 1000, "ribuan": 1000, "'000": 1000, "x1000": 1000,
     "jt": 10**6, "juta": 10**6, "jutaan": 10**6, "million": 10**6, "millions": 10**6, "mn": 10**6,
@@ -204,8 +202,6 @@ def amount(text: str | None, source_currency: str | None) -> tuple[str, int] | N
                     return None
                 parts[-1][1] = value
             elif what == "unit":
-                if word == "p":
-                    value = _base(source_currency if source_currency in P_OF else "GBP", HUNDREDTH)
                 if not parts:
                     before = value if before is None or before.dims[0][0] == SOURCE else before
                     stated.append(value)

@@ -13,7 +13,7 @@ CASES = [
     ("59 pounds 81 pence", "GBP", ("GBP", 59_810_000)), ("9 Australian dollars 5 cents", "SGD", ("AUD", 9_050_000)), ("amount in sen: 3044", "MYR", ("MYR", 30_440_000)), ("18,501 paisa", "INR", ("INR", 185_010_000)),
     ("RM 0.1 thousand", "MYR", ("MYR", 100_000_000)), ("Rp 0,1 juta", "IDR", ("IDR", 100_000_000_000)), ("78 (x1000)", "IDR", ("IDR", 78_000_000_000)), ("28 (dalam ribuan rupiah)", "IDR", ("IDR", 28_000_000_000)), ("GBP 1 ('000)", "GBP", ("GBP", 1_000_000_000)),
     ("$7.50", "AUD", ("AUD", 7_500_000)), ("US$7.50", "AUD", ("USD", 7_500_000)), ("MYR 14.-", "MYR", ("MYR", 14_000_000)), ("GBP 17/=", "GBP", ("GBP", 17_000_000)), ("Rs 16.4 lakh", "INR", ("INR", 1_640_000_000_000)),
-    ("990 p", "GBP", ("GBP", 9_900_000)), ("990 p", "INR", ("INR", 9_900_000)), ("12.50 13.20", "MYR", None), ("RM 5 USD", "MYR", None), ("5", None, None), ("", "MYR", None), (None, "MYR", None), ("-9.90", "MYR", ("MYR", -9_900_000)),
+    ("990 p", "GBP", ("GBP", 9_900_000)), ("990 p", "INR", ("GBP", 9_900_000)), ("12.50 13.20", "MYR", None), ("RM 5 USD", "MYR", None), ("5", None, None), ("", "MYR", None), (None, "MYR", None), ("-9.90", "MYR", ("MYR", -9_900_000)),
 ]
 
 
