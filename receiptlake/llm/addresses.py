@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, drop_table
 from . import postal
 from .groups import HELD, by_group, salted
 from .orgnames import damerau
@@ -202,13 +202,12 @@ def places(df: DataFrame, key: str = "entity_id", address: str = "address", roun
     """
     rows = df.select(F.col(key).alias("key"), F.col(address).alias("address")).where("length(trim(address)) > 0")
     read = cut(rows.select("address").distinct().mapInPandas(_read, _READ), "read")
-    rules = None
     for _ in range(rounds):
         new = cut(rewrites(read), "rewrites")
         if new.isEmpty():
             break
-        rules = new if rules is None else rules.union(new)
-        read = cut(_apply(read, new), "rewritten")
+        before, read = read, cut(_apply(read, new), "rewritten")
+        drop_table(before)
     same = F.concat_ws(" ", F.lit("="), "section", "road", "post", F.array_join(F.sort_array("words"), " "))
     k = F.when((F.col("unit") == "") | (F.col("road") == ""), same).otherwise(F.concat_ws("#", "unit", "section"))
     got = _located(read.select(k.alias("key"), "address", "road", "post", "words"))

@@ -103,6 +103,7 @@ def parse(name: str) -> tuple[str, list[str], bool]:
         for i, p in enumerate(pieces):
             if p.isalpha() and p not in ("AND", "DAN") or p == "DAN" and len(words) == 0:
                 words.append((p, i > 0))
+    words = [(w, j) for i, (w, j) in enumerate(words) if not (w == "N" and 0 < i < len(words) - 1 and min(len(words[i - 1][0]), len(words[i + 1][0])) > 2)]  # "A N B"
     trade, proper, doubt, i = "", [], False, 0
     exact = any((w,) in _FORMS for w, _ in words) or any((a[0], b[0]) in _FORMS for a, b in zip(words, words[1:]))
     words = [(w, j) for i, (w, j) in enumerate(words) if not (len(w) == 1 and w in "KP" and i + 1 < len(words) and words[i + 1][0] in ("BUKU", "KOPI", "PAKAIAN"))]
@@ -158,4 +159,6 @@ def compatible(short: str, full: str) -> bool:
         stem = short[:-1]
         if full.startswith(stem) or len(stem) >= 3 and full.endswith(stem):
             return True
+    if len(short) == 3 and len(full) == 4:
+        return short[0] == full[0] and damerau(short, full, 1) <= 1
     return len(short) >= 4 and damerau(short, full, 1 if len(full) < 8 else 2) <= (1 if len(full) < 8 else 2)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, drop_table
 
 #: Edges that one task may hold in memory as a forest (about 150 bytes each).
 FOREST = 400_000
@@ -64,13 +64,15 @@ def components(edges: DataFrame, forest_edges: int = FOREST) -> DataFrame:
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u > v").distinct()
     e = cut(e, "edges")
-    schema = e.schema
+    schema, written = e.schema, e
     n, parts = e.count(), max(1, e.rdd.getNumPartitions())
     wanted = max(parts, -(-n // forest_edges))
     if wanted > parts:
         e, parts = e.repartition(wanted, "v"), wanted
     while True:
-        e = cut(e.mapInPandas(forest, schema), "forest")
+        before, e = written, cut(e.mapInPandas(forest, schema), "forest")
+        written = e
+        drop_table(before)
         if parts == 1:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         n = e.count()
@@ -82,6 +84,7 @@ def components(edges: DataFrame, forest_edges: int = FOREST) -> DataFrame:
         after = cut(_star_round(e), "stars")
         if after.groupBy("u").count().where("count > 1").isEmpty() and after.alias("a").join(after.alias("b"), F.col("a.v") == F.col("b.u"), "left_semi").isEmpty():
             return after.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        drop_table(e)
         e = after
 
 
