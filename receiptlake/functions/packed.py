@@ -9,6 +9,7 @@ from functools import lru_cache
 
 # Candidate delimiters by name, as patterns. Longer ones come first where one holds another.
 CANDIDATES = {
+    "separator": r"\x1f|\x1e",
     "lines": r"\r\n|\r|\n|\\r\\n|\\n",
     "tab": r"\t|\\t",
     "double bar": r"\|\|",

@@ -14,7 +14,7 @@ from ..functions import packed
 #: A candidate is a delimiter of a source if at least this share of the pieces behind it have the type of a whole value.
 REGULAR = 0.5
 #: Delimiters that hold for a source in which no candidate was seen behind a typed first piece.
-DEFAULT = ("lines", "tab", "double bar", "bar", "semicolon", "wide comma", "plus", "slash", "comma")
+DEFAULT = ("separator", "lines", "tab", "double bar", "bar", "semicolon", "wide comma", "plus", "slash", "comma")
 
 
 def _evidence(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,8 +55,15 @@ def delimiters(df: DataFrame, text: str, source: str) -> DataFrame:
 
 
 def _split(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Values joined by the unit separator, which delimits in any source, since texts cross to Python and back faster than lists."""
+    known: dict = {}
     for texts, names in parts:
-        yield pd.Series([packed.items(t, DEFAULT if n is None else tuple(sorted(n))) for t, n in zip(texts, names)], dtype="object")
+        out = []
+        for t, n in zip(texts, names):
+            if n not in known:
+                known[n] = DEFAULT if n is None else ("separator", *n.split(","))
+            out.append("\x1f".join(packed.items(t, known[n])))
+        yield pd.Series(out, dtype="object")
 
 
 def unpack(df: DataFrame, key: str = "row_id", text: str = "items_text", source: str = "source") -> DataFrame:
@@ -69,5 +76,5 @@ def unpack(df: DataFrame, key: str = "row_id", text: str = "items_text", source:
     """
     rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(source).alias("_s")).where("length(_t) > 0")
     found = delimiters(rows, "_t", "_s")
-    got = rows.join(found, F.col("_s").eqNullSafe(F.col("source")), "left").select("_k", F.pandas_udf(_split, "array<string>")("_t", "names").alias("_v"))
-    return got.select(F.col("_k").alias(key), F.posexplode("_v").alias("pos", "item")).select(key, (F.col("pos") + 1).cast("int").alias("pos"), "item")
+    got = rows.join(found, F.col("_s").eqNullSafe(F.col("source")), "left").select("_k", F.pandas_udf(_split, "string")("_t", F.array_join("names", ",")).alias("_v")).where("_v <> ''")
+    return got.select(F.col("_k").alias(key), F.posexplode(F.split("_v", "\x1f")).alias("pos", "item")).select(key, (F.col("pos") + 1).cast("int").alias("pos"), "item")
