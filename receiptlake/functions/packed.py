@@ -30,6 +30,8 @@ _QUOTED = re.compile(r"""\s*(?:"((?:[^"\\]|""|\\.)*)"|'((?:[^'\\]|''|\\.)*)')\s*
 _BRACKET = r"\([^()]*\)|\[[^\[\]]*\]"
 _ESCAPE = r"\\[^nrt]"
 _BULLET = re.compile(r"\s*([•·●▪*–-])(?=\s)")
+_BULLETS = "•·●▪*–-"
+_NUMBERED = re.compile(r"\s*\d{1,3}[.)]\s")
 _NUMBER = re.compile(r"(?:^|(?<=\s))(\d{1,3})[.)]\s+")
 _HEAD = re.compile(r"\s*(?:\d+\s?[xX]\s+)?(\w+)(?:\s+(?![xX]\d)(\w+))?")
 
@@ -40,11 +42,25 @@ def scanner(names: tuple[str, ...]) -> re.Pattern:
     return re.compile("|".join([_BRACKET, _ESCAPE, *parts]))
 
 
+@lru_cache(maxsize=4096)
+def _bare(names: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(f"(?P<k{i}>{CANDIDATES[n]})" for i, n in enumerate(CANDIDATES) if n in names))
+
+
 _NAMES = list(CANDIDATES)
+#: What makes a delimiter's place matter: quotes, escapes, and brackets with more than words in them.
+_GUARD = re.compile(r"""["'\\\[]|\([^()\w]*\w*[^()\w]""")
 
 
 def pieces(text: str, names: tuple[str, ...]) -> list[tuple[str, str | None, bool]]:
     """(piece, name of the delimiter before it, whether it was quoted), as they stand, empty ones too."""
+    if not _GUARD.search(text):
+        out, start, before = [], 0, None
+        for m in _bare(names).finditer(text):
+            out.append((text[start : m.start()], before, False))
+            before, start = _NAMES[int(m.lastgroup[1:])], m.end()
+        out.append((text[start:], before, False))
+        return out
     scan, out, start, before, n = scanner(names), [], 0, None, len(text)
     while True:
         if q := _QUOTED.match(text, start):
@@ -120,12 +136,16 @@ def items(text: str | None, names: tuple[str, ...]) -> list[str]:
             if s := re.sub(r"\\(.)", r"\1", piece).strip():
                 out.append(s)
             continue
-        for part in unbulleted(piece):
-            split = unnumbered(part)
-            if split == [part] and (m := _NUMBER.match(part.lstrip())) and int(m[1]) == counted + 1:
-                split = [part.lstrip()[m.end() :]]
+        bare = piece.strip()
+        for part in unbulleted(piece) if bare[:1] in _BULLETS else (piece,):
+            if _NUMBERED.match(part):
+                split = unnumbered(part)
+                if split == [part] and (m := _NUMBER.match(part.lstrip())) and int(m[1]) == counted + 1:
+                    split = [part.lstrip()[m.end() :]]
+            else:
+                split = (part,)
             for s in split:
-                s = re.sub(r"\\([^nrt])", r"\1", s).strip()
+                s = (re.sub(r"\\([^nrt])", r"\1", s) if "\\" in s else s).strip()
                 if s:
                     out.append(s)
                     counted += 1
