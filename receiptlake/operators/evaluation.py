@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .windows import average_rank
+from .windows import average_rank, running_total
 
 
 def roc_auc(df: DataFrame, truth: str, score: str, by: list[str] | None = None) -> DataFrame:
@@ -20,12 +20,13 @@ def roc_auc(df: DataFrame, truth: str, score: str, by: list[str] | None = None)
 
 
 def roc_points(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """(score, tpr, fpr) at each distinct score as threshold, by running counts over the distinct scores."""
+    """(score, tpr, fpr) at each distinct score as threshold, by running totals over the distinct scores."""
     pos = F.col(truth).cast("int") == 1
     counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.select("score", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"), F.sum("p").over(Window.partitionBy()).alias("np"), F.sum("n").over(Window.partitionBy()).alias("nn"))
-    return run.select("score", F.round(F.col("tp") / F.greatest("np", F.lit(1)), 6).alias("tpr"), F.round(F.col("fp") / F.greatest("nn", F.lit(1)), 6).alias("fpr"))
+    np, nn = counts.agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    falling = counts.select("score", "p", "n", (-F.col("score")).alias("_o"))
+    run = running_total(running_total(falling, [], "_o", "p", "tp"), [], "_o", "n", "fp")
+    return run.select("score", F.round(F.col("tp") / max(np, 1), 6).alias("tpr"), F.round(F.col("fp") / max(nn, 1), 6).alias("fpr"))
 
 
 def best_threshold(points: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def operating_points(df: DataFrame, truth: str, score: str, thresholds: list[flo
 
 def rank_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: Spearman's correlation, ties at their mean rank."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
     return average_rank(average_rank(both, a, "_ra"), b, "_rb").agg(F.round(F.corr("_ra", "_rb"), 6).alias("rho"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 
 def trailing_median(df: DataFrame, by: str, order: list[str], value: str, back: int = 50, least: int = 5, default: float = 2748.0) -> DataFrame:
     """df's positive values with ``n_before`` and ``reference``: the median of up to ``back`` values before, or a default.
@@ -59,12 +61,31 @@ def fold_tail(df: DataFrame, by: list[str], choice: str, amount: str, keep: int
     return ranked.groupBy(*by, name.alias("choice")).agg(F.round(F.sum(amount), 2).alias("amount"))
 
 
+def running_total(df: DataFrame, by: list[str], order: str, value: str, out: str) -> DataFrame:
+    """df with the sum of value over the rows of the group up to each one, in the order of a column unique in the group.
+
+    Rows are cut into ranges of that column, written once so that the cuts stay; sums of whole ranges give each range its
+    start, and a window only orders within a range. So no task holds a whole group, nor the whole table if there is none.
+    """
+    placed = cut(df.repartitionByRange(*by, order).withColumn("_p", F.spark_partition_id()), "ranges")
+    start = F.sum("_t").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = placed.groupBy(*by, "_p").agg(F.sum(value).alias("_t")).select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("_p").alias("_q"), F.coalesce(start, F.lit(0)).alias("_start"))
+    on = F.col("_p") == F.col("_q")
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_by{i}"))
+    within = F.sum(value).over(Window.partitionBy(*by, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.join(starts, on).withColumn(out, F.col("_start") + within).drop("_p", "_q", "_start", *[f"_by{i}" for i in range(len(by))])
+
+
 def average_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """Ranks from 1 with ties at their mean, without one task sorting all rows: counts of values, then a running sum."""
+    """Ranks from 1 with ties at their mean, without one task sorting all rows: counts of values, then a running total."""
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    before = counts.select(*by, F.col(value), F.col("_c"), (F.sum("_c").over(Window.partitionBy(*by).orderBy(value)) - F.col("_c")).alias("_b"))
-    return df.join(before, [*by, value]).withColumn(out, F.col("_b") + (F.col("_c") + 1) / 2).drop("_b", "_c")
+    upto = running_total(counts, by, value, "_c", "_u").select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col(value).alias("_v"), (F.col("_u") - F.col("_c") + (F.col("_c") + 1) / 2).alias(out))
+    on = F.col(value) == F.col("_v")
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_by{i}"))
+    return df.join(upto, on).drop("_v", *[f"_by{i}" for i in range(len(by))])
 
 
 def jumps(df: DataFrame, by: str, order: list[str], value: str, limit: float) -> DataFrame:

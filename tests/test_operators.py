@@ -130,3 +130,19 @@ def test_image_features(spark):
     got = {r.path: r for r in images.features(df).collect()}
     assert got["bad"].features is None and len(got["p"].features) > 25
     assert images.altered(df.where("path = 'p'")).count() == 2
+
+
+def test_running_totals_over_ranges(spark):
+    random.seed(7)
+    rows = [(g, i, random.randint(0, 9)) for g in ("a", None, "c") for i in random.sample(range(10_000), 400)]
+    df = spark.createDataFrame(rows, "g string, k long, v long").repartition(7)
+    for by in (["g"], []):
+        ordered = sorted({(r[0] if by else "", r[1], r[2]) for r in rows}, key=lambda r: (str(r[0]), r[1]))
+        one = df if by else df.where("g = 'a'")
+        want, sums = {}, {}
+        for g, k, v in ordered if by else sorted((r for r in rows if r[0] == "a"), key=lambda r: r[1]):
+            key = g if by else ""
+            sums[key] = sums.get(key, 0) + v
+            want[g, k] = sums[key]
+        assert {(r.g, r.k): r.s for r in windows.running_total(one, by, "k", "v", "s").collect()} == want
+    assert windows.running_total(df.limit(0), [], "k", "v", "s").count() == 0
