@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app: str = "receiptlake", master: str | None = None, cores: int = 8) -> SparkSession:
@@ -63,11 +62,3 @@ def drop_table(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def with_columns_checked(df: DataFrame, needed: list[str]) -> DataFrame:
-    """Only the named columns, so extra columns of any name never clash with those an operator adds."""
-    missing = [c for c in needed if c not in df.columns]
-    if missing:
-        raise ValueError(f"columns {missing} are missing; there are {df.columns}")
-    return df.select(*[F.col(f"`{c}`") for c in needed])

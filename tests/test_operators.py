@@ -146,3 +146,22 @@ def test_running_totals_over_ranges(spark):
             want[g, k] = sums[key]
         assert {(r.g, r.k): r.s for r in windows.running_total(one, by, "k", "v", "s").collect()} == want
     assert windows.running_total(df.limit(0), [], "k", "v", "s").count() == 0
+
+
+def test_boosted_trees_and_what_they_rest_on(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, float(a), float(b), int(a > 0)) for i, (a, b) in enumerate(rng.normal(0, 1, (400, 2)))]
+    df = spark.createDataFrame(rows, "k long, a double, b double, y int")
+    model = learning.boosted(df.where("k % 4 <> 0"), ["a", "b"], "y", trees=5)
+    test = df.where("k % 4 = 0")
+    assert model.transform(test).agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0] > 0.9
+    rest = learning.importance(model, df, "k", ["a", "b"], "y")
+    assert rest[0][0] == "a" and rest[0][1] > 0.2 > abs(rest[1][1])
+
+
+def test_typed_files_and_instants(spark, tmp_path):
+    from receiptlake.functions import dates
+
+    (tmp_path / "t.csv").write_text('id,total,at\n1,2.50,2020-01-02 03:04:05\n2,x,\n')
+    got = readers.csv_typed(spark, str(tmp_path / "t.csv"), "id long, total double, at timestamp").select("id", "total", dates.iso_instant(F.col("at")).alias("at")).collect()
+    assert [tuple(r) for r in got] == [(1, 2.5, "2020-01-02T03:04:05.000Z"), (2, None, None)]
