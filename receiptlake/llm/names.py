@@ -17,8 +17,6 @@ from .unionfind import components
 
 #: Letters of a q-gram, and the Jaccard similarity that padded q-grams of a word and a slip of it have at least.
 Q, SIMILAR = 3, 0.38
-#: Names that share a more common word than this only meet if they also share trade and the first letter of the rest.
-COMMON = 200
 
 
 def _parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,13 +95,8 @@ class _Heads:
         return [h for h in found if orgnames.compatible(w, h)]
 
 
-def _group_links(rows: list[tuple[str, str, str, int]]) -> list[tuple[str, str]]:
-    """Within (profile, other, trade, n) that share a word: profiles of one organisation, each linked to the first.
-
-    Full other words are gathered around the most frequent; initials, beginnings and pet forms join them if they fit just
-    one; a name without trade joins if there is just one trade. The time is linear in the profiles.
-    """
-    rows = sorted(rows, key=lambda r: (len(r[1]) < 5, -r[3], r[0]))
+def _gathered(rows: list[tuple[str, str, str, int]]) -> dict[str, str | None]:
+    """The full word that each other word stands for, None where that is open."""
     heads = _Heads()
     of: dict[str, str | None] = {}
     for _, other, _, _ in rows:
@@ -117,6 +110,18 @@ def _group_links(rows: list[tuple[str, str, str, int]]) -> list[tuple[str, str]]
         else:
             heads.add(other)
             of[other] = other
+    return of
+
+
+def _group_links(rows: list[tuple[str, str, str, int]]) -> list[tuple[str, str]]:
+    """Within (profile, other, trade, n) that share a word: profiles of one organisation, each linked to the first.
+
+    Full other words are gathered around the most frequent, over all trades and within each; initials, beginnings and pet
+    forms join them if they fit just one, of their trade or of all; a name without trade joins if there is just one trade.
+    The time is linear in the profiles.
+    """
+    rows = sorted(rows, key=lambda r: (len(r[1]) < 5, -r[3], r[0]))
+    of = _gathered(rows)
     groups: dict[tuple, list[str]] = defaultdict(list)
     trades: dict[str, set[str]] = defaultdict(set)
     for _, other, trade, _ in rows:
@@ -126,6 +131,16 @@ def _group_links(rows: list[tuple[str, str, str, int]]) -> list[tuple[str, str]]
         h = of[other]
         if h is not None:
             groups[h, trade or (next(iter(trades[h])) if len(trades[h]) == 1 else "")].append(profile)
+    of_trade: dict[str, list[tuple]] = defaultdict(list)
+    for r in rows:
+        of_trade[r[2]].append(r)
+    if len(of_trade) > 1:
+        for trade, own in of_trade.items():
+            if trade and len(own) > 1:
+                within = _gathered(own)
+                for profile, other, _, _ in own:
+                    if within[other] is not None:
+                        groups["within", within[other], trade].append(profile)
     return [(g[0], x) for g in groups.values() for x in g[1:] if x != g[0]]
 
 
@@ -146,8 +161,8 @@ def organisations(names: DataFrame) -> DataFrame:
     """(name, org) of names(name): names with the same org mean one organisation.
 
     Legal forms, branches, case, order, marks and doubled blanks don't count; the line of trade does. Words
-    glued or torn are parted or joined where that gives known words. Names meet where they share a word - the rarer it is,
-    the less else they must share - and are compared by their other words and trade; names with a slip in the word they
+    glued or torn are parted or joined where that gives known words. Names meet where they share a word, however many do,
+    and are compared by their other words and trade; names with a slip in the word they
     would share meet in a prefix-filtered join on q-grams (``near``). All this runs over distinct profiles of words and trade,
     not names, and links form a forest; all pairs are only made by ``pairs``.
     """
@@ -166,13 +181,9 @@ def organisations(names: DataFrame) -> DataFrame:
     whole = read.select("name", "trade", F.explode("words").alias("word")).join(counts, "word").groupBy("name", "trade").agg(F.array_sort(F.collect_set(F.struct("word", "n"))).alias("ws"))
     named = cut(whole.select("name", "trade", "ws", F.concat_ws("|", F.col("ws.word"), F.array("trade")).alias("profile")), "named")
     profiles = cut(named.groupBy("profile").agg(F.first("ws").alias("ws"), F.first("trade").alias("trade"), F.count("*").alias("n")), "profiles")
-    most = F.array_max(F.col("ws.n"))
-    opened = profiles.select("profile", "trade", "n", "ws", most.alias("most"), F.explode("ws").alias("k")).where("length(k.word) >= 4 OR size(ws) = 1")
+    opened = profiles.select("profile", "trade", "n", "ws", F.explode("ws").alias("k")).where("length(k.word) >= 4 OR size(ws) = 1")
     other = F.concat_ws(" ", F.transform(F.filter("ws", lambda x: x["word"] != F.col("k.word")), lambda x: x["word"]))
-    common = F.col("k.n") > COMMON
-    groups = opened.select("profile", "trade", "n", other.alias("other"), F.col("k.word").alias("word"), common.alias("common"))
-    key = F.concat_ws("|", "word", F.when(F.col("common"), F.concat("trade", F.lit("|"), F.substring("other", 1, 1))))
-    keyed = groups.select(key.alias("key"), "profile", "other", "trade", "n")
+    keyed = opened.select(F.col("k.word").alias("key"), "profile", other.alias("other"), "trade", "n")
     links = _linked(keyed)
     links = links.union(near(profiles.select("profile", "trade", F.col("ws.word").alias("words"))))
     comp = components(links)

@@ -69,3 +69,14 @@ def test_organisations(spark, held, monkeypatch):
     p = names.pairs(got)
     assert p.count() == sum(len(g) * (len(g) - 1) // 2 for g in GROUPS) and p.where(F.col("name_a") >= F.col("name_b")).isEmpty()
     assert names.organisations(names.names_of(df.limit(0).select("merchant"))).count() == 0
+
+
+def test_a_common_word_hides_no_links(spark):
+    trades = ["HARDWARE", "BAKERY", "KLINIK", "TEXTILES"]
+    many = [f"CUKA {a}{b}{c}{d} {trades[i % 4]}" for i, (a, b, c, d) in enumerate((a, b, c, d) for a in ("FAM", "GOL", "HEP") for b in ("TU", "VO", "WI") for c in ("NAR", "SEK", "DUM", "LOP", "ZIT") for d in ("BO", "CHE", "PLA", "QUI", "XEN"))]
+    same = [["CUKA JIZNBE", "KEDAI KOPI CUKA JIZANBE"], ["CUKA BIZAN KEDAI KOPI", "CUKA RIZAN KEDAI KOPI"], ["CUKA Y KEDAI KOPI", "CUKA YUNDER KEDAI KOPI"]]
+    apart = ["CUKA YARMOS OPTICAL"]
+    df = spark.createDataFrame([(n,) for n in [*many, *apart, *(n for g in same for n in g)]], "name string")
+    org = {r.name: r.org for r in names.organisations(df).collect()}
+    assert len(many) > 200 and all(org[a] == org[b] for a, b in same)
+    assert len({org[g[0]] for g in same} | {org[n] for n in apart}) == 4
