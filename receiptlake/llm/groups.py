@@ -46,4 +46,4 @@ def by_group(df: DataFrame, key: list[str], columns: list[str], per_group: Calla
             out += per_group(rows)
         yield pd.DataFrame(out, columns=names)
 
-    return df.select(*key, *columns).repartition(*key).sortWithinPartitions(*key).mapInPandas(run, schema)
+    return df.select(*dict.fromkeys([*key, *columns])).repartition(*key).sortWithinPartitions(*key).mapInPandas(run, schema)

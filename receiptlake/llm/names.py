@@ -144,17 +144,32 @@ def _group_links(rows: list[tuple[str, str, str, int]]) -> list[tuple[str, str]]
     return [(g[0], x) for g in groups.values() for x in g[1:] if x != g[0]]
 
 
+def _part_links(rows: list[tuple[str, str, str, str, int]]) -> list[tuple[str, str, str]]:
+    """(key, u, v) within a part of (key, profile, other, trade, n): only what the rest of the group can't change, full words
+    of the same trade."""
+    of = _gathered([r[1:] for r in sorted((r for r in rows if len(r[2]) >= 5 and r[3]), key=lambda r: (-r[4], r[1]))])
+    groups: dict[tuple, list[str]] = defaultdict(list)
+    for _, profile, other, trade, _ in sorted(rows, key=lambda r: (-r[4], r[1])):
+        if of.get(other) is not None and trade:
+            groups[of[other], trade].append(profile)
+    return [(rows[0][0], g[0], x) for g in groups.values() for x in g[1:]]
+
+
 def _linked(groups: DataFrame, held: int = HELD) -> DataFrame:
-    """(u, v) links of (key, profile, other, trade, n). A group too large for a task is linked in parts, and what is left
-    of each part - one profile for each word and trade - is linked again."""
+    """(u, v) links of (key, profile, other, trade, n). In a group too large for a task full words are linked in parts; what
+    is left of the group - one profile for each full word and trade of a part, and those with short words or without a
+    trade - is linked as a whole. A profile only leaves the group in which it was linked to another, not its other groups."""
     columns = ["profile", "other", "trade", "n"]
     parts = cut(salted(groups, "key", held), "groups")
-    first = cut(by_group(parts, ["key", "part"], columns, _group_links, "u string, v string"), "links")
+    whole = parts.where("part = 0")
     large = parts.where("part > 0")
-    if large.isEmpty():
-        return first
-    left = large.join(first.select(F.col("v").alias("profile")).distinct(), "profile", "left_anti")
-    return first.union(by_group(left, ["key"], columns, _group_links, "u string, v string"))
+    split = not large.isEmpty()
+    if split:
+        first = cut(by_group(large, ["key", "part"], ["key", *columns], _part_links, "key string, u string, v string"), "parts")
+        left = large.join(first.select("key", F.col("v").alias("profile")).distinct(), ["key", "profile"], "left_anti")
+        whole = whole.union(left.select(*whole.columns))
+    links = cut(by_group(whole, ["key"], columns, _group_links, "u string, v string"), "links")
+    return links.union(first.select("u", "v")) if split else links
 
 
 def organisations(names: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from receiptlake.llm import addresses, names, orgnames, postal
 from receiptlake.llm.groups import HELD
+from receiptlake.llm.unionfind import components
 
 SAME_PLACE = [
     "NO 342A, JALAN KIRSA 10/2, TAMAN NODIN, 50570 PORT WAIHE, KARWU.", "342A, Jalan Kirsa 10/2, Taman Ndoin, 50570, Port Waihe, Karwu", "No. 342A, Jl Kirsa 10/2, Port Waihe 50570, Karwu", "No.342 A\nJALAN KIRSA 10/2\nTAMAN NODIN\nPORT. WAIHE 50570\nKAR",
@@ -80,3 +81,14 @@ def test_a_common_word_hides_no_links(spark):
     org = {r.name: r.org for r in names.organisations(df).collect()}
     assert len(many) > 200 and all(org[a] == org[b] for a, b in same)
     assert len({org[g[0]] for g in same} | {org[n] for n in apart}) == 4
+
+
+def test_heads_of_parts_meet_though_linked_elsewhere(spark):
+    others = ["DONMIR", "DONMIT", "DONMIX", "DONMIRA", "DONIMR", "DOMIR", "DONMI", "FONMIR"]
+    hot = [("HOT", f"p{i}", o, "cafe", 20 - i) for i, o in enumerate(others)] + [("HOT", "open", "D", "cafe", 1), ("HOT", "far", "DANGUS", "cafe", 1), ("HOT", "bare", "DONMIR", "", 1)]
+    small = [(f"s{i}", f"{x}{i}", "WORD", "cafe", n) for i in range(len(others)) for x, n in (("p", 1), ("z", 99))]
+    df = spark.createDataFrame(hot + small, "key string, profile string, other string, trade string, n long")
+    for held in (2, 3, HELD):
+        comp = {r.node: r.component for r in components(names._linked(df, held)).collect()}
+        assert {comp.get(x, x) for x in ["bare", *(f"{x}{i}" for x in "pz" for i in range(len(others)))]} == {"bare"}
+        assert not {"open", "far"} & set(comp)
