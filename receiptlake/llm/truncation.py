@@ -15,9 +15,9 @@ SIGNING = ["thanks", "thank you", "regards", "best regards", "kind regards", "be
 #: Share of the texts of a kind that end like sentences or signed, from which on the others of that kind count as cut.
 SENTENCES = 0.8
 #: Share of the texts of a kind that end in recurring lines, from which on other last lines count as cut; a recurring line
-#: is the last of at least RECURRING of the kind's texts.
+#: is the last of at least RECURRING of the kind's distinct texts.
 FIXED, RECURRING = 0.9, 0.005
-#: A word is known if this many texts hold it, and unknown if no text but the one it ends does.
+#: A word is known if this many texts hold it, and unknown if no text holds it before its end, however many end in it.
 KNOWN = 5
 LONGEST_WORD = 30
 
@@ -45,14 +45,15 @@ def words_of(text: Column) -> Column:
 
 
 def known_prefixes(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """(word) of ends(word) that no text holds but at its end, and that are proper prefixes of a known word.
+    """(word) of ends(word) that no text holds but at its end, and that are proper prefixes of a known word. ends has a row
+    for each text that ends in the word and doesn't hold it before; copies of a text count on both sides.
 
     The vocabulary is that of all texts. Its trie is a table of the prefixes of known words, of which only the nodes at which
     some text ends are kept, by a semi join before they are made distinct.
     """
     vocabulary = cut(docs.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).where(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count("*").alias("n")), "vocabulary")
     at_end = ends.groupBy("word").agg(F.count("*").alias("m"))
-    unknown = vocabulary.join(at_end, "word").where("n <= m AND n < %d" % KNOWN).select("word")
+    unknown = vocabulary.join(at_end, "word").where("n <= m").select("word")
     trie = vocabulary.where(f"n >= {KNOWN}").select(F.explode(F.expr("transform(sequence(1, length(word)), i -> substring(word, 1, i))")).alias("word"), F.length("word").alias("_l")).where("length(word) < _l").select("word")
     return unknown.join(trie, "word", "left_semi")
 
@@ -79,34 +80,37 @@ def endings(df: DataFrame, key: str = "doc_id", text: str = "text", kind: str =
     - ``word``: it ends without a mark in a word nothing else holds that is the beginning of a known word; in a signature
       only at a length at which fields of the source end;
     - ``amount``: at such a length it ends in an amount with a decimal mark and nothing behind.
-    Kinds are told apart by their own texts, counted over all of them; a null kind is one too. Null, empty and blank texts
+    Kinds are told apart by their own texts, counted over the distinct ones of all; a null kind is one too. Null, empty and blank texts
     are not cut; a text of only marks isn't either. Repeated texts are judged alike.
     """
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(kind), F.lit("")).alias("kind"), F.col(source).alias("source"))
     full = docs.where(F.length(F.trim(F.regexp_replace("text", r"[\p{Z}\s\p{Cf}]+", " "))) > 0)
     tail = tail_of(F.col("text"))
-    at = full.select("key", "kind", "source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), tail.alias("tail"), F.regexp_like("text", F.lit(r"\x{FFFD}\s*+$")).alias("broken"))
-    lines = F.split("tail", r"[\r\n]+")
-    at = at.select("key", "kind", "source", "n_chars", "n_bytes", "broken", F.try_element_at(lines, F.lit(-2)).alias("before"), F.try_element_at(lines, F.lit(-1)).alias("tail"))
+    at = full.select("key", "kind", "source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), F.xxhash64("text").alias("tid"), tail.alias("whole"), F.regexp_like("text", F.lit(r"\x{FFFD}\s*+$")).alias("broken"))
+    lines = F.split("whole", r"[\r\n]+")
+    at = at.select("key", "kind", "source", "n_chars", "n_bytes", "tid", "broken", "whole", F.try_element_at(lines, F.lit(-2)).alias("before"), F.try_element_at(lines, F.lit(-1)).alias("tail"))
     signed = F.regexp_like(_plain(F.concat(F.coalesce("before", F.lit("")), F.lit("\n"), F.col("tail"))), F.lit(r"(?:^|[\r\n])[\p{Z}\s]*(?:" + "|".join(SIGNING) + r")[\p{Z}\s]*[,.!]?[\p{Z}\s]*[\r\n]+[\p{Z}\s]*[\p{L}\p{M}.'-]+(?:[\p{Z} ]+[\p{L}\p{M}.'-]+){0,2}$"))
+    word = F.lower(F.regexp_extract("tail", r"(?<![\p{L}\p{M}])([\p{L}\p{M}]++)$", 1))
     at = cut(
         at.select(
-            "key", "kind", "source", "n_chars", "n_bytes", "broken",
+            "key", "kind", "source", "n_chars", "n_bytes", "tid", "broken",
             F.regexp_like("tail", F.lit(rf"(?:\.\.\.|…)[{CLOSERS}]*$")).alias("ellipsis"),
             F.regexp_like("tail", F.lit(rf"[{TERMINATORS}][{CLOSERS}]*$")).alias("ended"),
             signed.alias("signed"),
             _shape(F.col("tail")).alias("line"),
-            F.lower(F.regexp_extract("tail", r"(?<![\p{L}\p{M}])([\p{L}\p{M}]++)$", 1)).alias("word"),
+            word.alias("word"),
+            F.when(word != "", F.array_position(words_of(F.col("whole")), word) == F.size(words_of(F.col("whole")))).alias("only_end"),
             F.regexp_like("tail", F.lit(r"(?:RM|MYR|£|\$|GBP|USD|AUD|SGD)\s?\d{1,3}(?:,\d{3})*\.$")).alias("amount"),
         ),
         "endings",
     )
-    by_line = at.groupBy("kind", "line").agg(F.count("*").alias("n"))
-    total = at.groupBy("kind").agg(F.count("*").alias("total"), F.avg(F.when(F.col("ended") | F.col("signed"), 1.0).otherwise(0.0)).alias("sentences"))
+    texts = cut(at.groupBy("kind", "tid", "n_bytes").agg(*(F.first(c).alias(c) for c in ("line", "ended", "signed"))), "texts")
+    by_line = texts.groupBy("kind", "line").agg(F.count("*").alias("n"))
+    total = texts.groupBy("kind").agg(F.count("*").alias("total"), F.avg(F.when(F.col("ended") | F.col("signed"), 1.0).otherwise(0.0)).alias("sentences"))
     recurring = by_line.join(total, "kind").where(F.col("n") >= F.greatest(F.lit(2), F.col("total") * RECURRING)).select("kind", "line", "n")
     fixed = recurring.groupBy("kind").agg(F.sum("n").alias("fixed"))
     style = total.join(fixed, "kind", "left").select("kind", F.when(F.col("sentences") >= SENTENCES, "sentences").when(F.col("fixed") >= FIXED * F.col("total"), "lines").otherwise("free").alias("style"))
-    begun = known_prefixes(full, at.where("word <> '' AND NOT ended").select("word")).select("word", F.lit(True).alias("begun"))
+    begun = known_prefixes(full, at.where("only_end AND NOT ended").select("word")).select("word", F.lit(True).alias("begun"))
     peaks = limits(full).select("source", F.col("length").alias("n_chars"), F.lit(True).alias("at_limit"))
     got = at.join(style, "kind").join(recurring.select("kind", "line", F.lit(True).alias("recurs")), ["kind", "line"], "left").join(begun, "word", "left").join(peaks, ["source", "n_chars"], "left")
     open_end = ~F.col("ended")

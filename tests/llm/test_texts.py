@@ -89,3 +89,15 @@ def test_endings(spark):
     rep = truncation.report(got).first()
     assert rep.n_docs == len(rows) and rep.n_cut == sum(c for _, c, _ in ENDS)
     assert truncation.endings(df.limit(0)).count() == 0
+
+
+def test_endings_do_not_fade_with_size_and_copies(spark):
+    chat = [(100 + i, f"order {chr(97 + i) * 3} has the same problem he", "chat", True) for i in range(8)] + [(110, "the same old pro", "chat", True)] * 6
+    chat += [(200 + i, f"order {chr(97 + i) * 3} {x}", "chat", False) for i in range(20) for x in ("has the problem here", "is here again", "was ok with them")]
+    chat += [(400, "put it on again and on", "chat", False), (401, "ongoing", "chat", False)] + [(402 + i, f"still ongoing today {chr(97 + i) * 3}", "chat", False) for i in range(6)]
+    receipts = [(500 + i, f"SHOP\nTEA {i}.00\n{['THANK YOU', 'CHANGE 1.20'][i % 2]}", "receipt", False) for i in range(60)] + [(600, "X\nTOTAL 3.10\nTHAN", "receipt", True)] * 10
+    prose = [(700 + i, f"Somebody at desk {i} said bills were paid.", "prose", False) for i in range(30)] + [(800, "The bill was paid and put in the draw", "prose", True)] * 20
+    rows = [*chat, *receipts, *prose]
+    df = spark.createDataFrame([(k, t, kd, "s") for k, t, kd, _ in rows], "doc_id long, text string, doc_type string, source string")
+    got = {r.doc_id: r.cut for r in truncation.endings(df).collect()}
+    assert got == {k: c for k, _, _, c in rows}
