@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from ..session import cut
 from . import orgnames
 from .groups import HELD, by_group, salted
-from .setjoin import self_join
 from .unionfind import components
 
-#: Letters of a q-gram, and the Jaccard similarity that padded q-grams of a word and a slip of it have at least.
-Q, SIMILAR = 3, 0.38
+#: Letters from which on a word may be a slip of another, and from which on two edits count beside equal words.
+SLIP, TWICE = 4, 7
+#: Letters from which on a word tells so much that a short word beside it may stand for several spellings.
+TELLING = 6
 
 
 def _parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,35 +39,11 @@ def names_of(*columns: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def _alike(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Whether a word is a slip of the other's while the words beside them fit; two edits only beside equal words."""
-    for w1, o1, w2, o2 in parts:
-        out = []
-        for a, x, b, y in zip(w1, o1, w2, o2):
-            most = 2 if x == y and min(len(a), len(b)) >= 7 else 1
-            out.append(orgnames.damerau(a, b, most) <= most and (x == y or orgnames.compatible(x, y)))
-        yield pd.Series(out, dtype="bool")
-
-
-def near(profiles: DataFrame) -> DataFrame:
-    """(u, v): profiles (profile, trade, words) of which one word is a slip of the other's, in the same trade.
-
-    A prefix-filtered join of the q-grams of each word, bound to the trade and to the first letter of the word beside it, so
-    that q-grams are rare although the same syllables come back in many words. What passes is verified by edits.
-    """
-    one = profiles.where("size(words) = 2 AND length(words[0]) > 0 AND length(words[1]) > 0")
-    both = one.select("profile", "trade", F.explode(F.array(F.struct(F.col("words")[0].alias("w"), F.col("words")[1].alias("o")), F.struct(F.col("words")[1].alias("w"), F.col("words")[0].alias("o")))).alias("x")).where("length(x.w) >= 6")
-    text = F.concat(F.lit("##"), F.col("x.w"), F.lit("#"))
-    grams = F.transform(F.sequence(F.lit(1), F.length("x.w") + 1), lambda i: F.xxhash64("trade", F.substring("x.o", 1, 1), text.substr(i, F.lit(Q))))
-    sets = both.select(F.struct("profile", F.col("x.w").alias("w"), F.col("x.o").alias("o")).alias("id"), grams.alias("tokens"))
-    got = self_join(sets, SIMILAR)
-    return got.where(F.pandas_udf(_alike, "boolean")("a.w", "a.o", "b.w", "b.o")).select(F.col("a.profile").alias("u"), F.col("b.profile").alias("v"))
-
-
 class _Heads:
     """Full words, found by any word that may stand for them without going through all."""
 
-    def __init__(self):
+    def __init__(self, twice: bool = False):
+        self.twice = twice
         self.by: dict[tuple[str, str], list[str]] = defaultdict(list)
         self.all: list[str] = []
 
@@ -76,14 +53,18 @@ class _Heads:
             self.by["start", w[:i]].append(w)
             if i >= 3:
                 self.by["end", w[-i:]].append(w)
-        for x in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
+        for x in self.less(w):
             self.by["less", x].append(w)
 
+    def less(self, w: str) -> set[str]:
+        """w without up to one letter, or two where words of eight letters may differ by two edits and ``twice`` is set."""
+        return _less(w, 2 if self.twice and len(w) >= 6 else 1)
+
     def fit(self, w: str) -> list[str]:
         if not w:
             return self.all
         found = {}
-        for x in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
+        for x in self.less(w):
             for h in self.by.get(("less", x), ()):
                 found[h] = 1
         stems = [("start", w)] if len(w) <= 4 else []
@@ -95,6 +76,117 @@ class _Heads:
         return [h for h in found if orgnames.compatible(w, h)]
 
 
+class _Sets:
+    """Which of n things are known to be one."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _less(w: str, most: int) -> set[str]:
+    """w and what is left of it without up to ``most`` letters. Words within as many edits have one of these in common."""
+    out = last = {w}
+    for _ in range(most):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        out = out | last
+    return out
+
+
+def _once(rows: list[tuple[str, str, str, bool]]) -> list[tuple[str, str]]:
+    """Within (profile, word, other, own) of one trade whose words have something in common without a letter: those whose words
+    are at most one edit apart while the others fit. Short others join if they fit one organisation, of the same word first,
+    and beside words of ``TELLING`` letters all that begin like them."""
+    if len(rows) == 1 or len({r[1] for r in rows}) == 1 and not rows[0][3]:
+        return []
+    by: dict[str, list[int]] = defaultdict(list)
+    for i, r in enumerate(rows):
+        by[r[2]].append(i)
+    heads = _Heads(twice=True)
+    few = len(by) <= 12
+    if not few:
+        for o in by:
+            heads.add(o)
+    fits: dict[str, list[str]] = {o: [x for x in by if x != o and orgnames.compatible(o, x)] if few else [x for x in heads.fit(o) if x != o] if o else [] for o in by}
+    one, out = _Sets(len(rows)), []
+
+    def slip(i: int, j: int) -> bool:
+        return rows[i][1] == rows[j][1] or orgnames.damerau(rows[i][1], rows[j][1], 1) <= 1
+
+    def join(i: int, j: int) -> None:
+        if one.join(i, j):
+            out.append((rows[i][0], rows[j][0]))
+
+    short: dict[str, set[str]] = defaultdict(set)
+    for o, own in by.items():
+        for k, i in enumerate(own):
+            for j in own[k + 1 :]:
+                if one.find(i) != one.find(j) and slip(i, j):
+                    join(i, j)
+        for x in fits[o]:
+            if min(len(o), len(x)) < 5:
+                least, most = sorted((o, x), key=lambda y: (len(y), y))
+                short[least].add(most)
+                continue
+            for i in own:
+                for j in by[x]:
+                    if one.find(i) != one.find(j) and slip(i, j):
+                        join(i, j)
+    for o in sorted(short, key=lambda y: (-len(y), y)):
+        for i in by[o]:
+            fit = [j for x in short[o] for j in by[x] if slip(i, j)]
+            first = [j for j in fit if rows[j][1] == rows[i][1]] or fit
+            if first and len({one.find(j) for j in first}) == 1:
+                join(i, first[0])
+            for j in fit:
+                if min(len(rows[i][1]), len(rows[j][1])) >= TELLING and o[0] == rows[j][2][0]:
+                    join(i, j)
+    return out
+
+
+def _twice(rows: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Within (profile, word) of one trade beside equal words: those whose words are at most two edits apart."""
+    one, out = _Sets(len(rows)), []
+    by: dict[str, list[int]] = defaultdict(list)
+    for i, (profile, w) in enumerate(rows if len(rows) > 1 else ()):
+        keys = _less(w, 2)
+        for j in sorted({j for x in keys for j in by.get(x, ())}):
+            if one.find(i) != one.find(j) and orgnames.damerau(w, rows[j][1], 2) <= 2 and one.join(i, j):
+                out.append((rows[j][0], profile))
+        for x in keys:
+            by[x].append(i)
+    return out
+
+
+def near(profiles: DataFrame, held: int = HELD) -> DataFrame:
+    """(u, v): profiles (profile, trade, words) of which one word is a slip of the other's, in the same trade.
+
+    Words from ``SLIP`` letters on meet where they are alike without a letter, which all words do that are one edit apart, and
+    are kept if the other words fit; from ``TWICE`` letters on those beside equal words also meet without two letters, which all
+    do that are two edits apart. What meets is verified by edits.
+    """
+    words = profiles.select("profile", "trade", "words", F.explode("words").alias("w")).where(f"length(w) >= {SLIP}")
+    both = cut(words.select("profile", "trade", "w", F.concat_ws(" ", F.filter("words", lambda x: x != F.col("w"))).alias("o")), "slips")
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    once = both.select("profile", "trade", "w", "o", F.explode(F.array_distinct(F.concat(F.array("w"), less(F.col("w"))))).alias("x"))
+    once = by_group(once.select(F.xxhash64("trade", "x").alias("key"), "profile", "w", "o", (F.col("x") == F.col("w")).alias("own")), ["key"], ["profile", "w", "o", "own"], _once, "u string, v string")
+    long = both.where(f"length(w) >= {TWICE}").select("profile", "w", F.xxhash64("trade", "o").alias("key"))
+    sizes = salted(long, "key", held)
+    twice = F.array_distinct(F.concat(F.array("w"), less(F.col("w")), F.flatten(F.transform(less(F.col("w")), less))))
+    large = sizes.where("part > 0").select("profile", "w", "key", F.explode(twice).alias("x")).select("profile", "w", F.xxhash64("key", "x").alias("key"))
+    return once.union(by_group(sizes.where("part = 0").select("profile", "w", "key").union(large), ["key"], ["profile", "w"], _twice, "u string, v string"))
+
+
 def _gathered(rows: list[tuple[str, str, str, int]]) -> dict[str, str | None]:
     """The full word that each other word stands for, None where that is open."""
     heads = _Heads()
@@ -178,7 +270,7 @@ def organisations(names: DataFrame) -> DataFrame:
     Legal forms, branches, case, order, marks and doubled blanks don't count; the line of trade does. Words
     glued or torn are parted or joined where that gives known words. Names meet where they share a word, however many do,
     and are compared by their other words and trade; names with a slip in the word they
-    would share meet in a prefix-filtered join on q-grams (``near``). All this runs over distinct profiles of words and trade,
+    would share meet where they are alike without a letter or two (``near``). All this runs over distinct profiles of words and trade,
     not names, and links form a forest; all pairs are only made by ``pairs``.
     """
     ways = cut(names.mapInPandas(_parse, "name string, trade string, way int, words array<string>"), "ways")

@@ -92,3 +92,22 @@ def test_heads_of_parts_meet_though_linked_elsewhere(spark):
         comp = {r.node: r.component for r in components(names._linked(df, held)).collect()}
         assert {comp.get(x, x) for x in ["bare", *(f"{x}{i}" for x in "pz" for i in range(len(others)))]} == {"bare"}
         assert not {"open", "far"} & set(comp)
+
+
+def test_slips_meet_whatever_the_edit(spark):
+    same = [
+        ("RESTORAN ROKRY & BIPAZNI LTD", "RESTORAN ROKRIR & BIPANZI LTD"), ("D LOMTER HARDWARE", "DANVOS LOTMER HARDWARE"), ("KU SANVIRO OPTICAL", "KU SAVNRIO OPTICAL"), ("FU GEMPA TEXTILES", "FUNDOR GEPMA TEXTILES"),
+        ("HENTURYAYANJU BAKERY", "HNETURYAYAJNU BAKERY"), ("MILDE ZUNKA TORBE CLINIC", "MIDLE ZUNKA TOBRE CLINIC"),
+    ]
+    apart = ["RESTORAN ROKRIR & BUPUNGI LTD", "EDANVOS LOTMER BAKERY", "KU SENDERO OPTICAL"]
+    df = spark.createDataFrame([(n,) for n in [*apart, *(n for g in same for n in g)]], "name string")
+    org = {r.name: r.org for r in names.organisations(df).collect()}
+    assert [g for g in same if org[g[0]] != org[g[1]]] == [] and len(set(org.values())) == len(same) + len(apart)
+
+
+def test_slips_of_large_groups_meet(spark):
+    words = ["KRABAINWEN", "KRABIANWNE", "KARBAINWEN", "DONSELIRGA", "DONSLEIRG"]
+    df = spark.createDataFrame([(w, "cafe", sorted(["CUKA", w])) for w in words], "profile string, trade string, words array<string>")
+    for held in (2, HELD):
+        comp = {r.node: r.component for r in components(names.near(df, held)).collect()}
+        assert [comp.get(w, w) for w in words] == ["KARBAINWEN"] * 3 + ["DONSELIRGA"] * 2
