@@ -17,8 +17,6 @@ from .orgnames import damerau
 #: A rewrite is kept if it was seen in this many places, if its likelihood ratio is at least this (p < 0.001), and if it is
 #: this share of what the word was found to stand for.
 SUPPORT, RATIO, SHARE = 3, 10.83, 0.5
-#: Rounds of mining and rematching at most; they end before when no new rewrite appears.
-ROUNDS = 5
 # Words of kinds of places, which say nothing of which place.
 KINDS = {"JALAN", "LORONG", "PERSIARAN", "TAMAN", "BANDAR", "DESA", "MEDAN", "KAMPUNG", "SUNGAI", "PORT", "OFF", "FASA", "MALAYSIA", "MSIA", "LOT", "NO"}
 
@@ -192,7 +190,7 @@ def _located(groups: DataFrame, held: int = HELD) -> DataFrame:
     return first.join(again, F.col("place") == F.col("_a"), "left").select("address", F.coalesce("_p", "place").alias("place"))
 
 
-def places(df: DataFrame, key: str = "entity_id", address: str = "address", rounds: int = ROUNDS) -> DataFrame:
+def places(df: DataFrame, key: str = "entity_id", address: str = "address") -> DataFrame:
     """(key, place): rows with the same place have addresses of one location; see ``located``.
 
     Number, letter and floor of the unit, and the section of the road, must be the same. Only distinct texts are read,
@@ -202,7 +200,7 @@ def places(df: DataFrame, key: str = "entity_id", address: str = "address", roun
     """
     rows = df.select(F.col(key).alias("key"), F.col(address).alias("address")).where("length(trim(address)) > 0")
     read = cut(rows.select("address").distinct().mapInPandas(_read, _READ), "read")
-    for _ in range(rounds):
+    while True:  # a rewrite goes to a commoner word, so each round has fewer distinct words
         new = cut(rewrites(read), "rewrites")
         if new.isEmpty():
             break

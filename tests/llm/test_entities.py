@@ -111,3 +111,12 @@ def test_slips_of_large_groups_meet(spark):
     for held in (2, HELD):
         comp = {r.node: r.component for r in components(names.near(df, held)).collect()}
         assert [comp.get(w, w) for w in words] == ["KARBAINWEN"] * 3 + ["DONSELIRGA"] * 2
+
+
+def test_rewrites_are_mined_until_none_is_new(spark, monkeypatch):
+    chain = ["A", "B", "C", "D", "E", "F", "G", "H"]
+    rules = iter([*([r] for r in zip(chain, chain[1:])), []])
+    monkeypatch.setattr(addresses, "rewrites", lambda read: spark.createDataFrame(next(rules), "a string, b string"))
+    df = spark.createDataFrame([(i, f"NO 12, JALAN KIRSA 10/2, TAMAN NODIN {i}, 50570 PORT WAIHE") for i in range(2)], "entity_id long, address string")
+    addresses.places(df).count()
+    assert next(rules, None) is None
