@@ -152,11 +152,10 @@ def items(text: str | None, names: tuple[str, ...]) -> list[str]:
     return out
 
 
-def evidence(text: str, start_heads: Counter, after: Counter, rows: Counter) -> None:
-    """Counts, for one text, the type of its first piece and the types of the pieces behind each candidate."""
+def evidence(text: str, start_heads: Counter, after: Counter, pieces_behind: Counter) -> None:
+    """Counts, for one text, the type of its first piece, the types of the pieces behind each candidate, and how many they are."""
     if whole_list(text) is not None:
         return
-    seen = set()
     for i, (piece, by, _) in enumerate(pieces(text, tuple(CANDIDATES))):
         if not piece.strip():
             continue
@@ -165,5 +164,4 @@ def evidence(text: str, start_heads: Counter, after: Counter, rows: Counter) ->
             start_heads[h] += 1
         else:
             after[by, h] += 1
-            seen.add(by)
-    rows.update(seen)
+            pieces_behind[by] += 1
