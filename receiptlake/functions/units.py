@@ -7,6 +7,7 @@ Each currency is a base dimension of its own; between currencies only a table of
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from fractions import Fraction
@@ -170,8 +171,8 @@ _TOKEN = re.compile(rf"\s*(?:(?P<end>/[-=]|[.,]-)|(?P<word>{_ALTS})|(?P<num>\d+(
 
 
 @lru_cache(maxsize=1 << 16)
-def amount(text: str | None, source_currency: str | None) -> tuple[str, int] | None:
-    """(currency, millionths of its main unit) of a text that holds one amount, else None.
+def amount(text: str | None, source_currency: str | None) -> tuple[str, Fraction] | None:
+    """(currency, millionths of its main unit, exact whatever their size or decimals) of a text that holds one amount, else None.
 
     Grammar: ``amount = label* part+``, ``part = unit? number scale? unit? end?``. A unit before a number holds if none
     follows it. A second part is only read as the hundredths of the first (``12 pounds 5 pence``). A bare ``$``, ``cents``,
@@ -228,6 +229,12 @@ def amount(text: str | None, source_currency: str | None) -> tuple[str, int] | N
             return None
         total += value * scale * factor
     total *= 10**6
-    if total.denominator != 1 or not total < 2**62:
-        return None
-    return currency, int(-total if negative else total)
+    return currency, -total if negative else total
+
+
+def decimal_parts(value: Fraction) -> tuple[str, int]:
+    """(digits, k) with value = digits / 10^k; what is below the twelfth decimal is cut off."""
+    k = 0
+    while value.denominator > 1 and k < 12:
+        k, value = k + 1, value * 10
+    return str(math.floor(value)), k

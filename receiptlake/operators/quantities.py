@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import units
 
+
 def parse_amount(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for text, cur in parts:
-        got = [units.amount(t, c) or (None, None) for t, c in zip(text, cur)]
-        yield pd.DataFrame({"currency": pd.Series([c for c, _ in got], dtype="object"), "micro": pd.array([m for _, m in got], dtype="Int64")})
+        got = [(a[0], *units.decimal_parts(a[1])) if (a := units.amount(t, c)) else (None, None, 0) for t, c in zip(text, cur)]
+        yield pd.DataFrame(got, columns=["currency", "digits", "decimals"])
 
 
 def parse_measure(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -35,12 +36,16 @@ def canonical_amounts(df: DataFrame, profile: DataFrame, rates: DataFrame, key:
 
     The plan has no shuffle: profile and rates are dimension tables (one row a source, one a currency), which Catalyst
     broadcasts while their size on disk is below its threshold and else shuffles. Null, empty and unreadable texts, and
-    currencies without a rate, give no row; repeated rows give a row each; a source without a profile is read only if
-    its text names a currency.
+    currencies without a rate, give no row. Products are made in 38 digits and what is below a millionth is cut off; an
+    amount that the bigint of the result can't hold gives no row. Repeated rows give a row each; a source without a profile
+    is read only if its text names a currency.
     """
     rows = df.select(F.col(key).alias("_k"), F.trim(F.col(text)).alias("_t"), F.col(source).alias("_s")).where("length(_t) > 0 AND _t RLIKE '[0-9]'")
     prof = profile.select(F.col("source").alias("_ps"), F.col("currency").alias("_pc")).where("_ps IS NOT NULL").dropDuplicates(["_ps"])
     rate = rates.select(F.col("currency").alias("_rc"), F.col("micro_myr_per_unit").alias("_rate")).where("_rc IS NOT NULL AND _rate IS NOT NULL").dropDuplicates(["_rc"])
-    read = rows.join(prof, F.col("_s") == F.col("_ps"), "left").select("_k", F.pandas_udf(parse_amount, "currency string, micro long")("_t", "_pc").alias("_p")).select("_k", "_p.currency", "_p.micro").where("micro IS NOT NULL")
-    exact = F.expr("CAST(micro AS DECIMAL(19,0)) * CAST(_rate AS DECIMAL(18,0))")
-    return read.join(rate, F.col("currency") == F.col("_rc")).select(F.col("_k").alias(key), F.floor(exact / F.lit(1000000)).cast("bigint").alias("micro_myr"))
+    read = rows.join(prof, F.col("_s") == F.col("_ps"), "left").select("_k", F.pandas_udf(parse_amount, "currency string, digits string, decimals int")("_t", "_pc").alias("_p")).select("_k", "_p.currency", "_p.digits", "_p.decimals").where("digits IS NOT NULL")
+    product = F.expr("try_multiply(TRY_CAST(digits AS DECIMAL(38,0)), CAST(_rate AS DECIMAL(20,0)))")
+    unit = F.expr("CAST(rpad('1', decimals + 7, '0') AS DECIMAL(38,0))")
+    got = read.join(rate, F.col("currency") == F.col("_rc")).select("_k", product.alias("_p"), unit.alias("_u"))
+    whole = F.expr("TRY_CAST((_p - pmod(_p, _u)) / _u AS BIGINT)")
+    return got.select(F.col("_k").alias(key), whole.alias("micro_myr")).where("micro_myr IS NOT NULL")

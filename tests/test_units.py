@@ -36,12 +36,12 @@ def test_measures_have_dimensions():
 
 
 def test_operator_has_a_row_for_each_readable_row(spark):
-    rows = [(1, "RM 2", "S", "x"), (1, "RM 2", "S", "x"), (2, None, "S", "x"), (3, "", "S", "x"), (4, "7 EUR", "S", "x"), (5, "9", None, "x"), (6, "USD 9", None, "x"), (7, "1" * 40, "S", "x")]
+    rows = [(1, "RM 2", "S", "x"), (1, "RM 2", "S", "x"), (2, None, "S", "x"), (3, "", "S", "x"), (4, "7 EUR", "S", "x"), (5, "9", None, "x"), (6, "USD 9", None, "x"), (7, "1" * 40, "S", "x"), (8, "Rp 5,000,000,000,000", "S", "x"), (9, "RM 1.2345678", "S", "x"), (10, "IDR 90,000,000,000,000,000", "S", "x"), (11, "-RM 1.2345675", "S", "x")]
     df = spark.createDataFrame(rows, "row_id long, total string, source string, currency string")  # a column with a name that the profile has too
     prof = spark.createDataFrame([("S", "UTC", "dmy", "MYR"), ("S", "UTC", "dmy", "MYR"), (None, "UTC", "dmy", "MYR")], "source string, tz_name string, date_order string, currency string")
-    rates = spark.createDataFrame([("MYR", 1_000_000), ("USD", 4_400_000)], "currency string, micro_myr_per_unit long")
+    rates = spark.createDataFrame([("MYR", 1_000_000), ("USD", 4_400_000), ("IDR", 290)], "currency string, micro_myr_per_unit long")
     got = sorted(tuple(r) for r in quantities.canonical_amounts(df, prof, rates).collect())
-    assert got == [(1, 2_000_000), (1, 2_000_000), (6, 39_600_000)]
+    assert got == [(1, 2_000_000), (1, 2_000_000), (6, 39_600_000), (8, 1_450_000_000_000_000), (9, 1_234_567), (11, -1_234_568)]
     assert quantities.canonical_amounts(df.limit(0), prof, rates).count() == 0
 
 
