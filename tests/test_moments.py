@@ -35,8 +35,25 @@ def test_dictionary_only_parses_what_is_new(spark, tmp_path):
     path = str(tmp_path / "book")
     got = {tuple(r) for r in timestamps.normalise_moments([("t", rows, "row_id", "date", "source")], prof, path).collect()}
     assert got == {("t", 1, "2020-02-01"), ("t", 2, "2020-01-02"), ("t", 3, "2020-02-01"), ("t", 7, "2020-02-01")}
-    n = spark.read.parquet(path).count()
+    book = timestamps.MomentDictionary(spark, path)
+    n = book.table().count()
     again = timestamps.normalise_moments([("t", rows.union(spark.createDataFrame([(8, "03/04/2021", "B")], rows.schema)), "row_id", "date", "source")], prof, path)
     assert ("t", 8, "2021-03-04") in {tuple(r) for r in again.collect()}
-    assert spark.read.parquet(path).count() == n + 1
+    assert book.table().count() == n + 1
     assert timestamps.normalise_moments([("t", rows.limit(0), "row_id", "date", "source")], prof).count() == 0
+
+
+def test_two_writers_leave_one_entry_a_key(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("01/02/2020", KL, "dmy"), ("x", None, None)], "raw string, tz_name string, date_order string")
+    a, b = timestamps.MomentDictionary(spark, str(tmp_path / "book")), timestamps.MomentDictionary(spark, str(tmp_path / "book"))
+    publish = b._publish
+
+    def late(written, number):
+        if number == 0:
+            a.learn(rows)  # the other writer comes first
+        return publish(written, number)
+
+    monkeypatch.setattr(b, "_publish", late)
+    b.learn(rows.union(spark.createDataFrame([("02/02/2020", KL, "dmy")], rows.schema)))
+    assert sorted(r.raw for r in b.table().collect()) == ["01/02/2020", "02/02/2020", "x"] and len(b.batches()) == 2
+    assert {tuple(r) for r in b.resolve(rows).collect()} == {("01/02/2020", KL, "dmy", "2020-02-01")}
