@@ -14,21 +14,25 @@ from pyspark.sql import functions as F
 FOLDER = "/opt/tokenizers"
 # Fixed value: the pattern by which byte_bpe_50k cuts a text before merging bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters of a leaf of the tree, and of the first window at a join.
-LEAF, WINDOW = 32_768, 64
+#: Characters of a leaf of the tree, and of the first window on each side of a join.
+LEAF, WINDOW = 256, 32
+# Fixed value: places where the pattern cuts any text that has these characters side by side. Only characters are named whose
+# class every version of Unicode agrees on.
+_MARK = r"!-/:-@\[-`{-~、。〈〉《》「」『』【】！，．：；？（）\u0901-\u0903\u093e-\u094d"
+CERTAIN = rf"(?<=[\p{{L}}\p{{Nd}}{_MARK}])(?=[ \n\t])|(?<=\p{{L}})(?=[\p{{Nd}}{_MARK}])|(?<=\p{{Nd}})(?=[\p{{L}}{_MARK}])|(?<=[{_MARK}])(?<!')(?=[\p{{L}}\p{{Nd}}])"
 
 
 class ByteBPE:
     """A byte-level vocabulary as a monoid: ``encode(a + b) == join(encode(a), encode(b))``.
 
     Merges never cross the pieces the pattern cuts, so tokens on both sides of a place where the whole text is cut for
-    certain don't depend on each other. Such places are where a character that isn't blank meets a blank, and where two
-    of the classes letter, number and other mark meet, but for behind an apostrophe: no alternative of the pattern spans
-    them, and what an alternative looks ahead to is blank only. A join re-encodes from the last such place of the left
-    part to the first of the right one, in windows that double until each holds one or the part ends.
+    certain don't depend on each other: where a character that isn't blank meets a blank, and where two of the classes
+    letter, number and other mark meet, but for behind an apostrophe. No alternative of the pattern spans such a place, and
+    what an alternative looks ahead to is blank only.
     """
 
     def __init__(self, path: str):
+        import regex
         import tiktoken
 
         with open(path, "rb") as f:
@@ -36,70 +40,80 @@ class ByteBPE:
         self.encoding = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = {i: len(b) for b, i in ranks.items()}
         self.bytes_of = {i: b for b, i in ranks.items()}
-
-    @staticmethod
-    def _class(c: str) -> int:
-        return 0 if c.isspace() else 1 if c.isalpha() else 2 if c.isdecimal() else 3 if c.isascii() and c.isprintable() else 4
-
-    def cut_between(self, a: str, b: str) -> bool:
-        """Whether a text that has a directly before b is always cut there."""
-        x, y = self._class(a), self._class(b)
-        if y == 0:
-            return x in (1, 2, 3) and b in " \n\t"
-        return x != y and x in (1, 2, 3) and y in (1, 2, 3) and a not in "'"
+        self.certain = regex.compile(CERTAIN)
 
     def leaf(self, text: str) -> list[int]:
         return self.encoding.encode_ordinary(text)
 
     def encode(self, text: str, leaf: int = LEAF) -> list[int]:
+        """The ids of a text: of its halves, down to leaves of ``leaf`` characters, joined up the tree."""
         if len(text) <= leaf:
             return self.leaf(text)
         half = len(text) // 2
         return self.join(text[:half], self.encode(text[:half], leaf), text[half:], self.encode(text[half:], leaf))
 
     def join(self, a: str, ids_a: list[int], b: str, ids_b: list[int]) -> list[int]:
-        left = self._last_cut(a)
-        right = self._first_cut(b)
-        keep, rest = self._take_end(ids_a, len(a[left:].encode()))
-        drop = self._take_start(ids_b, len(b[:right].encode()))
-        return ids_a[:keep] + self.leaf(a[left:] + b[:right]) + ids_b[drop:] if rest == 0 else self.leaf(a + b)
-
-    def _last_cut(self, a: str) -> int:
-        n, w = len(a), WINDOW
+        """The ids of a + b from those of a and b.
+
+        A window around the joint is encoded anew. Its tokens have settled on a side from a certain cut on outwards if the
+        old tokens of that side and the new ones both break at the cut and are the same between it and the next certain
+        cut outwards: both are then the tokens of whole pieces of the text. The window doubles until both sides have
+        settled or it holds all of that side.
+        """
+        w = WINDOW
         while True:
-            for i in range(n - 1, max(0, n - w), -1):
-                if self.cut_between(a[i - 1], a[i]) and i > 0:
-                    return i
-            if w >= n:
-                return 0
+            tail, head = a[-w:], b[:w]
+            new = self.leaf(tail + head)
+            start = self._settled(tail, ids_a, new, False) if len(tail) < len(a) else (0, 0)
+            end = self._settled(head, ids_b, new, True) if len(head) < len(b) else (len(ids_b), len(new))
+            if start and end:
+                return ids_a[: start[0]] + new[start[1] : end[1]] + ids_b[end[0] :]
             w *= 2
 
-    def _first_cut(self, b: str) -> int:
-        n, w = len(b), WINDOW
-        while True:
-            for i in range(1, min(n, w)):
-                if self.cut_between(b[i - 1], b[i]):
-                    return i
-            if w >= n:
-                return n
-            w *= 2
+    def _settled(self, text: str, old: list[int], new: list[int], ahead: bool) -> tuple[int, int] | None:
+        """(index in old, index in new) of a place at which both may be spliced; text is the window's part of that side."""
+        cuts = [m.start() for m in self.certain.finditer(text)]
+        if len(cuts) < 2:
+            return None
+        inner, outer = (cuts[0], cuts[1]) if ahead else (cuts[-1], cuts[-2])
+        if ahead:  # bytes from the joint on, in old from its start and in new back from its end
+            near, far, whole = len(text[:inner].encode()), len(text[:outer].encode()), len(text.encode())
+            i, j = self._reach(old, near), self._back(new, whole - near)
+            m, n = self._reach(old, far), self._back(new, whole - far)
+        else:
+            whole = len(text.encode())
+            near, far = len(text[:inner].encode()), len(text[:outer].encode())
+            i, j = self._back(old, whole - near), self._reach(new, near)
+            m, n = self._back(old, whole - far), self._reach(new, far)
+        if None in (i, j, m, n) or old[min(i, m) : max(i, m)] != new[min(j, n) : max(j, n)]:
+            return None
+        return i, j
+
+    def _reach(self, ids: list[int], size: int) -> int | None:
+        """How many tokens from the start are exactly ``size`` bytes, None if none break there."""
+        i = 0
+        while size > 0 and i < len(ids):
+            size -= self.size[ids[i]]
+            i += 1
+        return i if size == 0 else None
 
-    def _take_end(self, ids: list[int], size: int) -> tuple[int, int]:
+    def _back(self, ids: list[int], size: int) -> int | None:
+        """The index from which on the tokens are exactly ``size`` bytes, None if none break there."""
         i = len(ids)
         while size > 0 and i:
             i -= 1
             size -= self.size[ids[i]]
-        return i, size
-
-    def _take_start(self, ids: list[int], size: int) -> int:
-        i = 0
-        while size > 0:
-            size -= self.size[ids[i]]
-            i += 1
-        return i
+        return i if size == 0 else None
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", errors="replace")
+        return self._bytes(ids, 0, len(ids)).decode("utf-8", errors="replace")
+
+    def _bytes(self, ids: list[int], i: int, j: int) -> bytes:
+        """The bytes of ids[i:j], those of both halves one after the other up the tree."""
+        if j - i <= LEAF:
+            return b"".join([self.bytes_of[x] for x in ids[i:j]])
+        half = (i + j) // 2
+        return self._bytes(ids, i, half) + self._bytes(ids, half, j)
 
 
 @lru_cache(maxsize=4)
