@@ -70,6 +70,10 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(p9_packed(spark, d))
 
 
+def p9_tiers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.tier_report(p9_packed(spark, d))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.endings(table(spark, d, "documents")).where("cut").select("doc_id")
 
@@ -83,7 +87,7 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_report, p4_found, p4_report, p5_found, p5_places, p6_found, p6_members, p8_ids, p8_round_trip, p9_packed, p9_report, p10_found, p10_evidence, p10_report)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_report, p4_found, p4_report, p5_found, p5_places, p6_found, p6_members, p8_ids, p8_round_trip, p9_packed, p9_report, p9_tiers, p10_found, p10_evidence, p10_report)}
 
 
 def oracle_sql() -> dict[str, str]:

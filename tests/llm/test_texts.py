@@ -38,7 +38,7 @@ def test_ids_equal_the_other_library(spark):
 
 def test_packing_is_whole_and_near_the_bound(spark):
     random.seed(3)
-    sizes = [random.choice([0, 1, 5, 40, 90, 91, 300, 700, 1025, 2048, 2049, 9000, random.randint(1, 2500)]) for _ in range(800)]
+    sizes = [random.choice([0, 1, 5, 40, 90, 91, 300, 700, 1025, 2048, 2049, 9000, random.randint(1, 2500)]) for _ in range(800)] + [random.randint(1, 600) for _ in range(4000)]
     df = spark.createDataFrame([(i, n, 0) for i, n in enumerate(sizes)] + [(0, sizes[0], 0), (-1, None, 0)], "doc_id long, n long, container long")
     got = packing.packed(df, "doc_id", F.col("n")).cache()
     rows = got.collect()
@@ -55,6 +55,12 @@ def test_packing_is_whole_and_near_the_bound(spark):
     assert all(len(p) == 1 or sizes[k] > packing.CAPACITY or k == 0 for k, p in parts.items())
     rep = packing.report(got).first()
     assert rep.n_containers <= rep.least_containers * 1.02 + 1 and sorted(spans) == list(range(rep.n_containers))
+    assert rep.most_in_step - rep.least_in_step <= 1 and rep.most_step_fill - rep.least_step_fill < 0.05
+    for r in rows:  # in one window of its tier, which is no shorter than its own
+        w = packing.window(r.tier, packing.CAPACITY)
+        assert r.start // w == (r.start + r.n_tokens - 1) // w and r.tier <= r.own_tier == packing.tier_of(r.n_tokens, packing.CAPACITY)
+    tiers = {r.tier: r for r in packing.tier_report(got).collect()}
+    assert sorted(tiers) == [0, 1, 2, 3] and sum(r.n_tokens for r in tiers.values()) == sum(r.n_tokens for r in rows) and tiers[3].filled_tokens == 0
     assert packing.packed(df.limit(0), "doc_id", F.col("n")).count() == 0
 
 
@@ -63,8 +69,8 @@ def test_patterns_hold_all_items():
     for _ in range(100):
         counts = {random.randint(1, 100): random.randint(1, 50) for _ in range(random.randint(1, 20))}
         left = dict(counts)
-        for times, used in packing.patterns(counts, 100):
-            assert sum(s * n for s, n in used) <= 100
+        for tier, times, used in packing.patterns(counts, 100):
+            assert sum(s * n for s, n in used) <= packing.window(tier, 100) and packing.tier_of(used[0][0], 100) == tier
             for s, n in used:
                 left[s] -= times * n
         assert not any(left.values())
