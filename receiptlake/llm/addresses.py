@@ -6,10 +6,10 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, drop_table
+from ..session import cut
 from . import postal
 from .groups import HELD, by_group, salted
 from .orgnames import damerau
@@ -17,93 +17,87 @@ from .orgnames import damerau
 #: A rewrite is kept if it was seen in this many places, if its likelihood ratio is at least this (p < 0.001), and if it is
 #: this share of what the word was found to stand for.
 SUPPORT, RATIO, SHARE = 3, 10.83, 0.5
-# Words of kinds of places, which say nothing of which place.
-KINDS = {"JALAN", "LORONG", "PERSIARAN", "TAMAN", "BANDAR", "DESA", "MEDAN", "KAMPUNG", "SUNGAI", "PORT", "OFF", "FASA", "MALAYSIA", "MSIA", "LOT", "NO"}
+#: Share of the distinct addresses that hold a word from which on it is rewritten, so that the rules are at most the words of
+#: an address divided by this, whatever the corpus; rarer slips are left to the comparison of places.
+COMMON = 1e-4
 
-_READ = "address string, unit string, section string, road string, post string, words array<string>"
+_READ = "address string, unit string, floor string, section string, road string, post string, words array<string>, said array<string>"
 
 
-def _read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in parts:
-        out = []
-        for a in pdf["address"]:
-            number, letter, floor, road, section, post, words = postal.read(a) or ("", "", "", "", "", "", [])
-            out.append((a, f"{number}|{letter}|{floor}" if number else "", section, road, post, words))
-        yield pd.DataFrame(out, columns=["address", "unit", "section", "road", "post", "words"])
+def _reader(rules: dict[str, str]):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = []
+            for a in pdf["address"]:
+                number, letter, floor, road, section, post, words, said = postal.read(a, rules) or ("", "", "", "", "", "", [], [])
+                out.append((a, f"{number}|{letter}" if number else "", floor, section, road, post, words, said))
+            yield pd.DataFrame(out, columns=["address", "unit", "floor", "section", "road", "post", "words", "said"])
 
+    return run
 
-def aligned(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """Words of a and b that stand in each other's place: what is between words both have, where it is one on each side."""
-    out = []
-    ia = ib = 0
-    at = {w: i for i, w in enumerate(b)}
-    for i, w in enumerate([*a, None]):
-        j = len(b) if w is None else at.get(w, -1)
-        if j >= ib:
-            if i - ia == 1 and j - ib == 1:
-                out.append((a[ia], b[ib]))
-            ia, ib = i + 1, j + 1
-    return out
 
-
-def _mined(rows: list[tuple[str, str, list[str]]], roads: bool) -> set[tuple[str, str]]:
-    """Pairs (rarer way, way most rows of the place write) of one place; each row is only held against the commonest."""
-    found = set()
-    if roads:
-        best = Counter(r for r, _, _ in rows).most_common()
-        head = max(best, key=lambda x: (x[1], x[0]))[0]
-        return {(r, head) for r, _ in best if r != head and r and head}
-    usual = max(Counter(tuple(w) for _, _, w in rows).items(), key=lambda x: (x[1], len(x[0]), x[0]))[0]
-    for _, _, words in rows:
-        for x, y in aligned(list(words), list(usual)):
-            found.add((x, y))
-            found.add((y, x))
-    return found
-
-
-def _mined_words(rows: list[tuple]) -> list[tuple]:
-    return [(a, b, 1) for a, b in _mined(rows, False)] if len(rows) > 1 else []
-
-
-def _mined_roads(rows: list[tuple]) -> list[tuple]:
-    return [(a, b, 1) for a, b in _mined(rows, True)] if len(rows) > 1 else []
+def _tokens() -> Column:
+    return F.array_distinct(F.concat("words", "said", F.array("road")))
 
 
 def rewrites(read: DataFrame) -> DataFrame:
     """(a, b): words a that are another way to write b, mined from addresses that agree elsewhere.
 
-    Addresses of one unit, section and road are held word by word against the commonest way of that place; those of one unit,
-    section and postcode, by their road. Pairs are counted by place, so that repeated rows don't count; the significant
-    ones go from the rarer to the commoner word.
+    Addresses agree if unit, section and road, or unit, section and postcode are the same. Each is held against the commonest
+    way of its place: a word that only it has and one that only the other has are a pair if one may be short for the other
+    (its letters in order, the first one first) or a slip of it. A pair counts once a place, so that repeated rows don't
+    count. Kept are the significant pairs, from the rarer to the commoner word or to one that readers know
+    written out. No pairs of addresses are made, and
+    what is shuffled is combined by place and words first.
     """
-    full = read.where("unit <> '' AND section <> ''")
-    by_road = full.where("road <> ''").select(F.concat_ws("#", "unit", "section", "road").alias("key"), "road", "post", "words")
-    by_post = full.where("length(post) = 5 AND road <> ''").select(F.concat_ws("#", "unit", "section", "post").alias("key"), "road", "post", "words")
-    schema = "a string, b string, n long"
-    columns = ["road", "post", "words"]
-    seen = by_group(salted(by_road, "key"), ["key", "part"], columns, _mined_words, schema).union(by_group(salted(by_post, "key"), ["key", "part"], columns, _mined_roads, schema))
-    pairs = cut(seen.where("length(a) > 1 AND length(b) > 1").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
+    full = read.where("unit <> '' AND section <> ''").select("unit", "section", "road", "post", F.array_sort(_tokens()).alias("tokens"))
+    keys = F.array_compact(F.array(F.when(F.col("road") != "", F.xxhash64(F.lit("road"), "unit", "section", "road")), F.when(F.length("post") == 5, F.xxhash64(F.lit("post"), "unit", "section", "post"))))
+    ways = cut(full.select(F.explode(keys).alias("key"), "tokens").groupBy("key", "tokens").agg(F.count("*").alias("n")), "ways")
+    usual = ways.groupBy("key").agg(F.max_by("tokens", F.struct("n", F.size("tokens"), "tokens")).alias("usual"), F.count("*").alias("k")).where("k > 1").select("key", "usual")
+    apart = ways.join(usual, "key").select("key", F.explode(F.array_except("tokens", "usual")).alias("x"), F.array_except("usual", "tokens").alias("ys")).select("key", "x", F.explode("ys").alias("y")).where("length(x) > 1 AND length(y) > 1")
+    short, long = F.when(F.length("x") <= F.length("y"), F.col("x")).otherwise(F.col("y")), F.when(F.length("x") <= F.length("y"), F.col("y")).otherwise(F.col("x"))
+    within = F.expr("long RLIKE concat('^', regexp_replace(short, '(.)', '$1.*'), '$')")
+    alike = apart.select("key", "x", "y", short.alias("short"), long.alias("long")).where((F.levenshtein("x", "y", 1) >= 0) | within).select("key", F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("p"))
+    pairs = cut(alike.select("key", "p.a", "p.b").distinct().groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
     of_a = pairs.groupBy("a").agg(F.sum("n").alias("na"))
     of_b = pairs.groupBy("b").agg(F.sum("n").alias("nb"))
-    words = read.select(F.explode(F.concat("words", F.array("road"))).alias("w")).groupBy("w").agg(F.count("*").alias("f"))
-    total = pairs.agg(F.sum("n")).first()[0] or 0
+    words = cut(read.select(F.explode(_tokens()).alias("w")).groupBy("w").agg(F.count("*").alias("f")), "words")
+    total, rows = pairs.agg(F.sum("n")).first()[0] or 0, read.count()
     c = pairs.where(f"n >= {SUPPORT}").join(of_a, "a").join(of_b, "b").join(words.select(F.col("w").alias("a"), F.col("f").alias("fa")), "a").join(words.select(F.col("w").alias("b"), F.col("f").alias("fb")), "b").withColumn("nn", F.lit(total))
 
     def term(k: str, row: str, col: str) -> str:
         return f"(CASE WHEN ({k}) > 0 THEN ({k}) * ln(({k}) * nn / (({row}) * ({col}))) ELSE 0 END)"
 
     ratio = F.expr(f"2 * ({term('n', 'na', 'nb')} + {term('na - n', 'na', 'nn - nb')} + {term('nb - n', 'nn - na', 'nb')} + {term('nn - na - nb + n', 'nn - na', 'nn - nb')})")
-    alike = (F.substring("a", 1, 1) == F.substring("b", 1, 1)) | (F.levenshtein("a", "b") <= 1)  # what happens to stand in the same place is no rewrite
-    kept = c.where(alike & (F.col("fa") < F.col("fb")) & (F.col("n") >= SHARE * F.col("na")) & (ratio >= RATIO))
+    out = sorted(postal.KINDS)
+    kept = c.where(~F.col("a").isin(out) & (F.col("b").isin(out) | (F.col("fa") < F.col("fb"))) & (F.col("fa") >= COMMON * rows) & (F.col("n") >= SHARE * F.col("na")) & (ratio >= RATIO))
     return kept.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
 
 
-def _apply(read: DataFrame, rules: DataFrame) -> DataFrame:
-    """read with words and roads rewritten; the rules are joined, by broadcast only while Catalyst finds them small."""
-    each = read.select("address", F.posexplode(F.concat("words", F.array("road"))).alias("pos", "w")).join(rules, F.col("w") == F.col("a"), "left")
-    back = each.groupBy("address").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("b", "w").alias("w")))).alias("o")).select("address", F.col("o.w").alias("ws"))
-    new = read.select("address", "unit", "section", "post").join(back, "address")
-    return new.select("address", "unit", "section", F.element_at("ws", -1).alias("road"), "post", F.slice("ws", F.lit(1), F.size("ws") - 1).alias("words"))
+def renormalised(addresses: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """addresses(address) as read with all rewrites mined, and the rewrites.
+
+    Addresses are read, rewrites mined, and those that hold one read again with it, which brings more addresses to agree, until no
+    rewrite is new. Each round has at least one more word that is rewritten, of which there are finitely many.
+    """
+    read = cut(addresses.mapInPandas(_reader({}), _READ), "read")
+    rules: dict[str, str] = {}
+    while True:
+        new = {r.a: r.b for r in rewrites(read).collect() if r.a not in rules and r.b != r.a}
+        if not new:
+            return read, rules
+        rules |= new
+        for a in rules:  # a rewrite goes to a commoner word when it is mined; a chain is followed to its end
+            seen = {a}
+            while (b := rules[a]) in rules and rules[b] not in seen:
+                seen.add(b)
+                rules[a] = rules[b]
+        glued = sorted(postal.openers(new) - postal.openers({}))
+        touched = F.arrays_overlap(_tokens(), F.array(*map(F.lit, sorted(new))))
+        if glued:
+            touched = touched | F.exists(_tokens(), lambda w: w.rlike(f"^(?:{'|'.join(glued)})"))
+        again = cut(read.where(touched).select("address").mapInPandas(_reader(dict(rules)), _READ), "reread")
+        read = read.where(~touched).union(again)
 
 
 def _apart(a: str, b: str) -> int:
@@ -129,63 +123,68 @@ class _Roads:
         return sorted({i for x in self.less(w) for i in self.by.get(x, ())})
 
 
-def located(rows: list[tuple[str, str, str, tuple[str, ...]]]) -> list[tuple[str, str]]:
-    """(address, first address of its place) for (address, road, post, words) of one unit and section.
+def located(rows: list[tuple[str, str, list[str], list[str], int]]) -> list[tuple]:
+    """(address, first address of its place, and for that one all postcodes, words and rows of the place, else nulls) for (address, road,
+    postcodes, words, rows) of one unit and section.
 
     The commonest roads come first. An address joins a place of the same road unless postcode and all words speak against
     it, and one of a road up to two slips away if postcode or a word of the locality speaks for it, up to four if both do.
     """
-    often = Counter(r[1] for r in rows)
+    often: Counter = Counter()
+    for r in rows:
+        often[r[1]] += r[4]
     index, places, out = _Roads(), [], []
     exact: dict[str, list[int]] = defaultdict(list)
     by_post: dict[str, list[int]] = defaultdict(list)
-    for address, road, post, words in sorted(((a, r, p, tuple(w)) for a, r, p, w in rows), key=lambda r: (-often[r[1]], r[1], -len(r[3]), r[0])):
-        own = {w for w in words if w not in KINDS and len(w) > 2}
+    for address, road, posts, words, n in sorted(((a, r, tuple(p), tuple(w), n) for a, r, p, w, n in rows), key=lambda r: (-often[r[1]], r[1], -r[4], -len(r[3]), r[0])):
+        own = {w for w in words if len(w) > 2}
         hit = None
         for i in exact[road]:
-            _, posts, known, _ = places[i]
-            if not post or not posts or any(_apart(post, p) <= 2 for p in posts) or not own or not known or own & known:
+            _, there, known, _, _ = places[i]
+            if not posts or not there or any(_apart(q, p) <= 2 for p in there for q in posts) or not own or not known or own & known:
                 hit = i
                 break
-        for i in by_post[post] if hit is None and len(post) == 5 else ():
-            other, _, known, _ = places[i]
+        for i in [i for q in posts if len(q) == 5 for i in by_post[q]] if hit is None else ():
+            other, _, known, _, _ = places[i]
             if own & known and damerau(road, other, 4) <= min(4, max(len(road), len(other)) - 2):
                 hit = i
                 break
         if hit is None and road:
             for i in index.near(road):
-                other, posts, known, _ = places[i]
+                other, there, known, _, _ = places[i]
                 most = 1 if min(len(road), len(other)) < 5 else 2
                 edits = damerau(road, other, most)
-                speaks = any(_apart(post, p) <= 1 for p in posts if post) or bool(own & known)
-                if edits <= most and (speaks or edits <= 1 and not (own and known) and not (post and posts)):
+                speaks = any(_apart(q, p) <= 1 for p in there for q in posts) or bool(own & known)
+                if edits <= most and (speaks or edits <= 1 and not (own and known) and not (posts and there)):
                     hit = i
                     break
         if hit is None:
             hit = len(places)
-            places.append((road, set(), set(), address))
+            places.append([road, set(), set(), address, 0])
             exact[road].append(hit)
             index.add(road, hit)
         place = places[hit]
-        if post:
-            if post not in place[1]:
-                by_post[post].append(hit)
-            place[1].add(post)
-        place[2].update(own)
-        out.append((address, place[3]))
-    return out
+        for q in posts:
+            if q not in place[1]:
+                by_post[q].append(hit)
+            place[1].add(q)
+        place[2] |= own
+        place[4] += n
+        out.append((address, hit))
+    first = {places[h][3]: places[h] for _, h in out}
+    return [(a, places[h][3], *((sorted(first[a][1]), sorted(first[a][2]), first[a][4]) if a in first else (None, None, None))) for a, h in out]
 
 
 def _located(groups: DataFrame, held: int = HELD) -> DataFrame:
-    """(address, place) of (key, address, road, post, words). A group too large for a task is read in parts; the first
-    addresses of their places then meet, and the places of one stand for those of the other."""
-    columns, schema = ["address", "road", "post", "words"], "address string, place string"
+    """(address, place) of (key, address, road, posts, words, n). A group too large for a task is read in parts; the places of
+    the parts then meet, each with all its postcodes and words, and the places of one stand for those of the other."""
+    columns, schema = ["address", "road", "posts", "words", "n"], "address string, place string, posts array<string>, words array<string>, n long"
     parts = cut(salted(groups, "key", held), "groups")
     first = cut(by_group(parts, ["key", "part"], columns, located, schema), "places")
     large = parts.where("part > 0")
     if large.isEmpty():
-        return first
-    heads = large.join(first.select(F.col("place").alias("address")).distinct(), "address", "left_semi")
+        return first.select("address", "place")
+    heads = large.select("key", "address", "road").join(first.where("n IS NOT NULL").select("address", "posts", "words", "n"), "address")
     again = by_group(heads, ["key"], columns, located, schema).select(F.col("address").alias("_a"), F.col("place").alias("_p"))
     return first.join(again, F.col("place") == F.col("_a"), "left").select("address", F.coalesce("_p", "place").alias("place"))
 
@@ -199,16 +198,11 @@ def places(df: DataFrame, key: str = "entity_id", address: str = "address") -> D
     place and give no row. An address without number or road only equals addresses of the same words.
     """
     rows = df.select(F.col(key).alias("key"), F.col(address).alias("address")).where("length(trim(address)) > 0")
-    read = cut(rows.select("address").distinct().mapInPandas(_read, _READ), "read")
-    while True:  # a rewrite goes to a commoner word, so each round has fewer distinct words
-        new = cut(rewrites(read), "rewrites")
-        if new.isEmpty():
-            break
-        before, read = read, cut(_apply(read, new), "rewritten")
-        drop_table(before)
-    same = F.concat_ws(" ", F.lit("="), "section", "road", "post", F.array_join(F.sort_array("words"), " "))
-    k = F.when((F.col("unit") == "") | (F.col("road") == ""), same).otherwise(F.concat_ws("#", "unit", "section"))
-    got = _located(read.select(k.alias("key"), "address", "road", "post", "words"))
+    read, _ = renormalised(rows.select("address").distinct())
+    same = F.concat_ws(" ", F.lit("="), "section", "road", "post", F.array_join(F.sort_array(F.concat("words", "said")), " "))
+    k = F.when((F.col("unit") == "") | (F.col("road") == ""), same).otherwise(F.concat_ws("#", "unit", "floor", "section"))
+    posts = F.when(F.col("post") != "", F.array("post")).otherwise(F.array().cast("array<string>"))
+    got = _located(read.select(k.alias("key"), "address", "road", posts.alias("posts"), "words", F.lit(1).cast("long").alias("n")))
     return rows.join(got, "address").select(F.col("key").alias(key), "place")
 
 
