@@ -27,15 +27,15 @@ WINDOW = 16
 
 #: What may stand behind an end, read backwards: blanks, closing tags, symbols and invisible marks.
 _BEHIND = r"(?:>\s*/?\w+/?<|[\p{So}\p{Sk}\p{Cf}&&[^\x{FFFD}]]|[\p{Z}\s\x{FE0F}\x{1F3FB}-\x{1F3FF}])*+"
+#: Characters of an end in which marks, the final word and a signature are looked for; longer ones have none.
+END = 400
+#: A last line up to this long recurs if only its numbers differ, a longer one if it is the same.
+LINE = 200
 
 
-def without_end(text: Column, backwards: str) -> Column:
-    """text without the run at its end that the pattern matches on the reversed text, so that only the run itself is scanned."""
-    return F.substring(text, F.lit(1), F.length(text) - F.length(F.regexp_extract(F.reverse(text), f"^{backwards}", 0)))
-
-
-def tail_of(text: Column) -> Column:
-    return without_end(text, _BEHIND)
+def _run(backwards: Column, pattern: str) -> Column:
+    """Length of the run at the start of a reversed text that the pattern matches, so that only the run is scanned."""
+    return F.length(F.regexp_extract(backwards, f"^{pattern}", 0))
 
 
 def _plain(text: Column) -> Column:
@@ -49,15 +49,12 @@ def _shape(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(_plain(line)), r"\d", "9"), r"(?<![.9])9+", "9")
 
 
-def _closed(text: Column) -> Column:
-    return F.regexp_like(text, F.lit(rf"[{TERMINATORS}][{CLOSERS}]*$"))
-
-
 def _signed(end: Column) -> Column:
-    """Whether the last lines are a signature: up to three words that no sentence mark ends, a name of up to three words below,
-    and nothing or a closed sentence above."""
+    """Whether the last lines, reversed, are a signature: a name of up to three words, above it up to three words that no
+    sentence mark ends, and above these nothing or a closed sentence."""
     few = r"[\p{L}\p{M}.'-]+(?:[\p{Z} ]+[\p{L}\p{M}.'-]+){0,2}"
-    return F.regexp_like(end, F.lit(rf"(?:^|[{TERMINATORS}][{CLOSERS}]*[\p{{Z}}\s]*[\r\n])[\p{{Z}}\s]*[\p{{L}}\p{{M}}'-]+(?:[\p{{Z}} ]+[\p{{L}}\p{{M}}'-]+){{0,2}}[\p{{Z}} ]*[,.!]?[\p{{Z}} ]*[\r\n]+[\p{{Z}}\s]*{few}$"))
+    plain = r"[\p{L}\p{M}'-]+(?:[\p{Z} ]+[\p{L}\p{M}'-]+){0,2}"
+    return F.regexp_like(end, F.lit(rf"^{few}[\p{{Z}}\t ]*[\r\n][\p{{Z}}\s]*[,.!]?[\p{{Z}} ]*{plain}[\p{{Z}}\t ]*(?:$|[\r\n][\p{{Z}}\s]*(?:$|[{CLOSERS}]*[{TERMINATORS}]))"))
 
 
 def known_prefixes(bodies: DataFrame, ends: DataFrame) -> DataFrame:
@@ -117,17 +114,20 @@ def endings(df: DataFrame, key: str = "doc_id", text: str = "text", kind: str =
     cut; a text of only marks isn't either. Repeated texts of a source are judged alike; repeated keys give their rows.
     """
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(kind), F.lit("")).alias("kind"), F.col(source).alias("source"))
-    at = docs.select("key", "kind", "source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), F.xxhash64("text").alias("tid"), F.regexp_like("text", F.lit(rf"{BROKEN}\s*+$")).alias("broken"), tail_of(F.col("text")).alias("whole"))
-    at = at.withColumn("end", F.substring("whole", -400, 400))  # wide enough for three lines of an end; longer lines have no say but in line, which reads whole
-    ended = _closed(F.col("end"))
-    word = F.when(~ended, F.lower(F.regexp_extract(F.rtrim(F.col("end"), F.lit(BROKEN)), r"(?<![\p{L}\p{M}])([\p{L}\p{M}]++)$", 1))).otherwise("")
-    full = F.coalesce(F.length(F.regexp_extract("whole", r"[^\p{Z}\s\p{Cf}]", 0)) > 0, F.lit(False))
+    back = docs.select("key", "kind", "source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), F.xxhash64("text").alias("tid"), F.reverse("text").alias("back"))
+    back = back.withColumn("run", _run(F.col("back"), _BEHIND))
+    back = back.select("*", F.substring(F.col("back"), F.col("run") + 1, F.lit(END)).alias("end"))
+    line = F.reverse(F.regexp_extract(F.substring(F.col("back"), F.col("run") + 1, F.col("n_chars")), r"^[^\r\n]*", 0))
+    full = F.coalesce(F.length(F.regexp_extract("end", r"[^\p{Z}\s\p{Cf}]", 0)) > 0, F.lit(False))
+    ended = F.regexp_like("end", F.lit(rf"^[{CLOSERS}]*[{TERMINATORS}]"))
+    word = F.when(~ended, F.lower(F.reverse(F.regexp_extract("end", rf"^{BROKEN}*([\p{{L}}\p{{M}}]*+)", 1)))).otherwise("")
+    back = back.select("*", line.alias("l"))
     at = cut(
-        at.select(
-            "key", "kind", "source", "n_chars", "n_bytes", "tid", "broken", full.alias("full"), ended.alias("ended"), _signed(F.col("end")).alias("signed"),
-            F.regexp_like("end", F.lit(rf"(?:\.\.\.|…)[{CLOSERS}]*$")).alias("ellipsis"),
-            F.regexp_like("end", F.lit(r"(?:RM|MYR|£|\$|GBP|USD|AUD|SGD)\s?\d{1,3}(?:,\d{3})*\.$")).alias("amount"),
-            _shape(F.substring_index(F.translate("whole", "\r", "\n"), "\n", -1)).alias("line"), word.alias("word"),
+        back.select(
+            "key", "kind", "source", "n_chars", "n_bytes", "tid", F.regexp_like("end", F.lit(f"^{BROKEN}")).alias("broken"), full.alias("full"), ended.alias("ended"), _signed(F.col("end")).alias("signed"),
+            F.regexp_like("end", F.lit(rf"^[{CLOSERS}]*(?:\.\.\.|…)")).alias("ellipsis"),
+            F.regexp_like("end", F.lit(r"^\.(?:\d{3},)*\d{1,3}\s?(?:MR|RYM|£|\$|PBG|DSU|DUA|DGS)")).alias("amount"),
+            F.when(F.length("l") <= LINE, _shape(F.col("l"))).otherwise(F.concat(F.lit("#"), F.xxhash64("l"))).alias("line"), word.alias("word"),
         ),
         "endings",
     )
@@ -139,7 +139,7 @@ def endings(df: DataFrame, key: str = "doc_id", text: str = "text", kind: str =
     recurring = by_line.join(total, "kind").where(F.col("n") >= F.greatest(F.lit(2), F.col("total") * RECURRING)).select("kind", "line", "n")
     fixed = recurring.groupBy("kind").agg(F.sum("n").alias("fixed"))
     style = total.join(fixed, "kind", "left").select("kind", F.when(F.col("sentences") >= SENTENCES, "sentences").when(F.col("fixed") >= FIXED * F.col("total"), "lines").otherwise("free").alias("style"))
-    bodies = docs.select(without_end(F.col("text"), rf"{_BEHIND}{BROKEN}*+[\p{{L}}\p{{M}}]*+").alias("body"))
+    bodies = docs.select("text", (F.length("text") - _run(F.reverse("text"), rf"{_BEHIND}{BROKEN}*+[\p{{L}}\p{{M}}]*+")).alias("n")).select(F.substring(F.col("text"), F.lit(1), F.col("n")).alias("body"))
     trie = known_prefixes(bodies, some.where("word <> ''").select("word", "tid")).select("word", F.lit(True).alias("trie"))
     peaks = limits(texts).select(F.col("source").alias("_s"), "habit", "limits")
     got = some.withColumn("word", F.when(F.col("word") != "", F.col("word")).otherwise(F.concat(F.lit("\x00"), F.col("tid"))))  # what can't match isn't one key
