@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,12 +35,43 @@ def similarity(a: Column, b: Column, bits: int = 64) -> Column:
     return 1 - hamming(a, b) / bits
 
 
-def bands(h: Column, distance: int, bits: int = 64) -> Column:
-    """distance + 1 pieces of a hash, numbered: two hashes within that distance share one (pigeonhole)."""
-    k = distance + 1
-    cuts = [round(i * bits / k) for i in range(k + 1)]
-    pieces = []
-    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+#: Near pieces of a band that a plan may list.
+TABLE = 2_000
+
+
+def _cuts(bands: int, bits: int = 64) -> list[tuple[int, int]]:
+    at = [round(i * bits / bands) for i in range(bands + 1)]
+    return list(zip(at, at[1:]))
+
+
+def band_plan(n: int, distance: int, bits: int = 64) -> tuple[int, int]:
+    """(bands, bits in which a band may differ) for n hashes: of two hashes within ``distance`` at least one band differs in at most
+    distance // bands bits (pigeonhole). The plan with the least keys and meetings is chosen."""
+
+    def cost(bands: int) -> float:
+        width, radius = bits // bands, distance // bands
+        near = sum(comb(width, i) for i in range(radius + 1))
+        return n * bands * (1 + near) + n * n / 2 * bands * near / 2.0**width
+
+    small = [b for b in range(1, min(distance + 1, bits) + 1) if sum(comb(-(-bits // b), i) for i in range(distance // b + 1)) <= TABLE]
+    best = min(small, key=lambda b: (cost(b), b))
+    return best, distance // best
+
+
+def pieces(h: Column, bands: int) -> Column:
+    """The bands of a hash, numbered."""
+    out = []
+    for i, (lo, hi) in enumerate(_cuts(bands)):
         mask = (1 << (hi - lo)) - 1 if hi - lo < 64 else -1
-        pieces.append(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(h, lo).bitwiseAND(F.lit(mask).cast("bigint")).alias("piece")))
-    return F.array(*pieces)
+        out.append(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(h, lo).bitwiseAND(F.lit(mask).cast("bigint")).alias("piece")))
+    return F.array(*out)
+
+
+def near_pieces(h: Column, bands: int, radius: int) -> Column:
+    """The bands of a hash and all that differ from them in at most ``radius`` bits."""
+    if radius == 0:
+        return pieces(h, bands)
+    flips = [[sum(1 << b for b in some) for r in range(radius + 1) for some in combinations(range(hi - lo), r)] for lo, hi in _cuts(bands)]
+    table = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in one]) for one in flips])
+    own = pieces(h, bands)
+    return F.flatten(F.transform(own, lambda p: F.transform(F.element_at(table, p["band"] + 1), lambda x: F.struct(p["band"].alias("band"), p["piece"].bitwiseXOR(x).alias("piece")))))

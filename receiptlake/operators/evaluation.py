@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sampling import draw
 from .windows import average_rank, running_total
 
 
@@ -113,23 +116,61 @@ def injected_recall(df: DataFrame, value: Column, reference: Column, multipliers
     return each.groupBy(F.col("x.m").alias("multiplier")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("x.flag").cast("double")), 6).alias("flag_rate"))
 
 
+def poisson_copies(u: Column) -> Column:
+    """How many copies a uniform number draws by the Poisson law with mean one, up to five."""
+    out, upto, p = F.lit(5), 0.0, exp(-1.0)
+    steps = []
+    for k in range(5):
+        upto += p
+        steps.append((k, upto))
+        p /= k + 1
+    for k, at in reversed(steps):
+        out = F.when(u < round(at, 8), F.lit(k)).otherwise(out)
+    return out
+
+
 def bootstrap_auc(df: DataFrame, group: str, truth: str, a: str, b: str, times: int, seed: int = 42) -> DataFrame:
-    """One row: mean and 95 % interval of the difference of two scores' AUC when whole groups are drawn again with repeats.
+    """One row: mean, 95 % interval and two-sided p of the difference of two scores' AUC when whole groups are drawn again with repeats.
 
-    Each group gets a Poisson number of copies in each repetition, from a hash, so that repetitions need no shuffle of
-    their own draws and an executor that is lost draws the same again.
+    Each group gets a Poisson number of copies in each repetition, from a hash, so that an executor that is lost draws the
+    same again. Rows are counted by group and score first; repetitions copy these counts, not rows, and are combined before
+    they are shuffled. A window of a repetition holds its distinct scores.
     """
-    draws = df.select(F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("rep"), group, truth, a, b)
-    u = F.pmod(F.xxhash64(F.col(group), F.col("rep"), F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    n = F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.91969860, 2).when(u < 0.98101184, 3).when(u < 0.99634015, 4).otherwise(5)
-    weighted = draws.select("rep", truth, a, b, n.alias("w")).where("w > 0")
+    rows = df.where(F.col(group).isNotNull() & F.col(truth).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())
+    pos = F.col(truth).cast("int") == 1
+    groups = rows.select(F.col(group).alias("_g")).distinct()
+    drawn = groups.select("_g", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("rep"))
+    w = drawn.select("_g", "rep", poisson_copies(draw(F.concat_ws("|", "_g", "rep"), seed) / float(16**7)).alias("w")).where("w > 0")
 
     def auc(score: str, out: str) -> DataFrame:
-        pos = F.col(truth).cast("int") == 1
-        c = weighted.groupBy("rep", score).agg(F.sum(F.when(pos, F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(~pos, F.col("w")).otherwise(0)).alias("n"))
-        below = F.sum("n").over(Window.partitionBy("rep").orderBy(score)) - F.col("n")
-        s = c.withColumn("_b", below).groupBy("rep").agg(F.sum(F.col("p") * (F.col("_b") + F.col("n") / 2)).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+        counts = rows.groupBy(F.col(group).alias("_h"), F.col(score).alias("_s")).agg(F.count_if(pos).alias("_p"), F.count_if(~pos).alias("_n"))
+        c = counts.join(w, F.col("_h") == F.col("_g")).groupBy("rep", "_s").agg(F.sum(F.col("w") * F.col("_p")).alias("p"), F.sum(F.col("w") * F.col("_n")).alias("n"))
+        below = F.sum("n").over(Window.partitionBy("rep").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
+        s = c.withColumn("_b", F.coalesce(below, F.lit(0))).groupBy("rep").agg(F.sum(F.col("p") * (F.col("_b") + F.col("n") / 2)).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n"))
         return s.where("p > 0 AND n > 0").select("rep", (F.col("s") / (F.col("p") * F.col("n"))).alias(out))
 
     d = auc(a, "auc_a").join(auc(b, "auc_b"), "rep").select((F.col("auc_a") - F.col("auc_b")).alias("d"))
     return d.agg(F.count("*").alias("n_reps"), F.round(F.avg("d"), 6).alias("mean_diff"), F.round(F.percentile("d", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("d", F.lit(0.975)), 6).alias("high"), F.round(2 * F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double"))), 6).alias("p_value"))
+
+
+def disagreement(df: DataFrame, a: str, b: str, cut_a: float, cut_b: float) -> DataFrame:
+    """One row: rows with both scores, and the share in which their verdicts at a cut each differ."""
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return both.agg(F.count("*").alias("n"), F.round(F.avg(((F.col(a) >= cut_a) != (F.col(b) >= cut_b)).cast("double")), 6).alias("disagreement"))
+
+
+def best_of(metrics: DataFrame, most_fpr: float = 0.15) -> DataFrame:
+    """The model with the best recall among those whose false alarms stay below a limit, the fewest false alarms on a tie; without any
+    such one, that with the fewest. metrics: model, fpr, recall."""
+    ok = F.col("fpr") < most_fpr
+    order = F.struct(ok, F.when(ok, F.col("recall")), -F.col("fpr"), F.col("recall"), F.col("model"))
+    return metrics.agg(F.max_by(F.struct("model", "fpr", "recall"), order).alias("m")).select("m.model", "m.fpr", "m.recall")
+
+
+def group_recall(df: DataFrame, user: str, score: list[Column], group: str, relevant: Column, k: int) -> DataFrame:
+    """(user, covered, wanted, recall): share of a user's relevant groups (categories) that the k best scored items cover."""
+    place = F.row_number().over(Window.partitionBy(user).orderBy(*score))
+    r = df.select(F.col(user).alias("u"), F.col(group).alias("g"), relevant.alias("rel"), place.alias("p"))
+    per = r.groupBy("u", "g").agg(F.max(F.col("rel").cast("int")).alias("rel"), F.max((F.col("p") <= k).cast("int")).alias("top"))
+    s = per.groupBy("u").agg(F.count_if((F.col("rel") == 1) & (F.col("top") == 1)).alias("covered"), F.count_if(F.col("rel") == 1).alias("wanted"))
+    return s.select(F.col("u").alias(user), "covered", "wanted", F.round(F.when(F.col("wanted") > 0, F.col("covered") / F.col("wanted")).otherwise(0.0), 6).alias("recall"))

@@ -37,7 +37,7 @@ def classifier(train: DataFrame, text: str, label: str, kind: str = "lr", trees:
         "svc": OneVsRest(classifier=LinearSVC(maxIter=30, regParam=1e-3), labelCol="_y", weightCol="_weight"),
         "rf": RandomForestClassifier(labelCol="_y", weightCol="_weight", numTrees=trees, maxDepth=12, seed=42),
     }[kind]
-    return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="_y", handleInvalid="skip", stringOrderType="alphabetAsc"), *text_features(text), model]).fit(train.join(F.broadcast(weights), label))
+    return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="_y", handleInvalid="skip", stringOrderType="alphabetAsc"), *text_features(text), model]).fit(train.join(weights, label))
 
 
 def classified(model: PipelineModel, df: DataFrame, key: str, gate: float = 0.65, fallback: str | None = None) -> DataFrame:
@@ -80,10 +80,14 @@ def _depths(tree: tuple, x: np.ndarray, depth: int = 0) -> np.ndarray:
 def isolation_forest(train: DataFrame, features: list[str], trees: int = 200, sample: int = 256, seed: int = 42) -> list[tuple]:
     """Trees of an isolation forest (Liu, Ting, Zhou 2008). Each is grown from ``sample`` rows drawn by hash, which the
     method prescribes and which bounds what any task and the driver hold, however large the table."""
-    n = train.count()
     rows = train.select(F.array(*[F.col(c).cast("double") for c in features]).alias("x")).where(F.forall("x", lambda v: v.isNotNull()))
-    chance = min(1.0, 1.3 * sample / max(1, n))
-    many = rows.select("x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("t")).where(F.pmod(F.xxhash64("x", "t", F.lit(seed)), F.lit(1_000_003)) < int(chance * 1_000_003) + 1)
+    n = rows.count()
+    # each row is offered to as many trees as give each of them somewhat more than its sample: to one or none in a large table
+    copies = min(trees, max(1, -(-13 * sample * trees // (10 * max(1, n)))))
+    chance = min(1.0, 1.3 * sample * trees / (max(1, n) * copies))
+    offered = F.filter(F.sequence(F.lit(0), F.lit(copies - 1)), lambda i: F.pmod(F.xxhash64("x", "_at", i, F.lit(seed)), F.lit(1_000_003)) < int(chance * 1_000_003) + 1)
+    placed = rows.withColumn("_at", F.monotonically_increasing_id()).select("x", "_at", F.explode(offered).alias("i"))
+    many = placed.select("x", F.pmod(F.xxhash64("x", "_at", F.lit(seed + 1)) + F.col("i"), F.lit(trees)).cast("int").alias("t"))
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import json
@@ -138,11 +142,49 @@ def estimate(pairs: DataFrame, user: str, item: str, model: tuple, low: float =
 def importance(model: PipelineModel, df: DataFrame, key: str, features: list[str], label: str) -> list[tuple[str, float]]:
     """(feature, loss of accuracy) when a feature's values are moved to other rows: ranks by two hashes of key are joined."""
     hit: Column = (F.col("prediction") == F.col(label)).cast("double")
-    base = model.transform(df).agg(F.avg(hit)).first()[0]
+    n, base = model.transform(df).agg(F.count("*"), F.avg(hit)).first()
+    cells = max(1, n // 64)
+    given = df.groupBy(F.pmod(F.xxhash64(key, F.lit(2)), F.lit(cells)).alias("_c")).agg(*[F.min_by(f, F.xxhash64(key, F.lit(3))).alias(f"_{f}") for f in features])
+    moved = df.withColumn("_c", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(cells))).join(given, "_c")
     out = []
     for f in features:
-        cells = max(1, df.count() // 64)
-        to = df.drop(f).withColumn("_c", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(cells)))
-        given = df.groupBy(F.pmod(F.xxhash64(key, F.lit(2)), F.lit(cells)).alias("_c")).agg(F.min_by(f, F.xxhash64(key, F.lit(3))).alias(f))
-        out.append((f, base - (model.transform(to.join(given, "_c")).agg(F.avg(hit)).first()[0] or 0.0)))
+        one = moved.withColumn(f, F.col(f"_{f}"))
+        out.append((f, base - (model.transform(one).agg(F.avg(hit)).first()[0] or 0.0)))
     return sorted(out, key=lambda x: -x[1])
+
+
+def selected(train: DataFrame, held_out: DataFrame, text: str, label: str, key: str, kinds: tuple[str, ...] = ("lr", "svc", "rf"), trees: int = 50) -> tuple[str, PipelineModel, list[tuple[str, float]]]:
+    """(kind, model, [(kind, macro F1)] best first): models of all kinds, told apart by macro F1 on held-out rows; a tie goes to the first."""
+    from .evaluation import class_report, confusion
+
+    scores, models = [], {}
+    for kind in kinds:
+        models[kind] = classifier(train, text, label, kind, trees)
+        got = classified(models[kind], held_out, key).join(held_out.select(key, label), key)
+        scores.append((kind, class_report(confusion(got, label, "predicted")).agg(F.avg("f1")).first()[0] or 0.0))
+    scores.sort(key=lambda x: (-x[1], kinds.index(x[0])))
+    return scores[0][0], models[scores[0][0]], scores
+
+
+def flagged_share(scores: DataFrame, score: str, share: float = 0.12) -> DataFrame:
+    """scores with ``flagged``: the share of rows that score highest, cut at the exact percentile."""
+    at = scores.agg(F.percentile(score, F.lit(1 - share))).first()[0]
+    return scores.withColumn("flagged", F.col(score) > F.lit(at))
+
+
+def cross_validated(ratings: DataFrame, user: str, item: str, rating: str, folds: int = 5, rank: int = 10) -> DataFrame:
+    """(fold, n, rmse): errors of the factor model on each fold when trained on the others; folds by hash of user and item."""
+    placed = ratings.withColumn("_f", F.pmod(F.xxhash64(user, item), F.lit(folds)).cast("int"))
+    out = None
+    for k in range(folds):
+        held = placed.where(F.col("_f") == k)
+        got = estimate(held, user, item, biased_factors(placed.where(F.col("_f") != k), user, item, rating, rank))
+        one = got.where("estimate IS NOT NULL").agg(F.lit(k).alias("fold"), F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.pow(F.col(rating) - F.col("estimate"), F.lit(2)))), 6).alias("rmse"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def stacked(train: DataFrame, df: DataFrame, key: str, scores: list[str], label: str) -> DataFrame:
+    """(key, fused): probability of a logistic model over several scores, fitted on train."""
+    model = Pipeline(stages=[VectorAssembler(inputCols=scores, outputCol="_v", handleInvalid="skip"), LogisticRegression(featuresCol="_v", labelCol=label, maxIter=30, regParam=1e-3)]).fit(train)
+    return model.transform(df).select(key, F.round(F.element_at(vector_to_array("probability"), 2), 6).alias("fused"))

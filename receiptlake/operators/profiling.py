@@ -36,12 +36,10 @@ def missing_by_group(df: DataFrame, group: str, columns: list[str], also: dict[s
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, n_distinct), exact. Each column is grouped on its own so that no row is copied for another column."""
-    out = None
-    for c in columns:
-        one = df.select(F.col(c).cast("string").alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.lit(1).alias("x")).agg(F.count("*").alias("n_distinct")).select(F.lit(c).alias("column_name"), "n_distinct")
-        out = one if out is None else out.union(one)
-    return out
+    """(column_name, n_distinct), exact, in one scan: values of all columns side by side, combined before the shuffle."""
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)])).alias("x")).select("x.i", "x.v")
+    per = each.groupBy("i", "v").agg(F.lit(1).alias("x")).groupBy("i").agg(F.count("v").alias("n_distinct"))
+    return per.select(F.element_at(F.array(*map(F.lit, columns)), F.col("i") + 1).alias("column_name"), "n_distinct")
 
 
 def repeats(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -66,18 +64,32 @@ def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int)
     return df.select(F.floor((value - low) / w).cast("int").alias("bin")).where(F.col("bin").between(0, bins - 1)).groupBy("bin").agg(F.count("*").alias("n"))
 
 
+def dominant_bins(df: DataFrame, value: Column, low: float, high: float, bins: int, share: float = 0.1) -> DataFrame:
+    """(bin, n, share): the bins that hold more than a share of the values within [low, high)."""
+    h = histogram(df, value, low, high, bins)
+    total = h.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return h.select("bin", "n", F.round(F.col("n") / max(total, 1), 6).alias("share")).where(F.col("n") > share * total)
+
+
+#: Percentiles, in per cent, that profiles give, by linear interpolation.
+PERCENTILES = (2.0, 2.5, 50.0, 95.0, 97.5, 98.0, 99.0)
+
+
 def moments(df: DataFrame, by: str, value: Column) -> DataFrame:
-    """Mean, deviation, half width of the 95 % interval, kurtosis (not in excess), range, percentiles."""
+    """Mean, deviation, half width of the 95 % interval, kurtosis (not in excess), range, largest by median, percentiles."""
     v = value.cast("double")
-    return df.groupBy(F.col(by).alias("grp")).agg(
+    got = df.groupBy(F.col(by).alias("grp")).agg(
         F.count(v).alias("n"),
         F.round(F.avg(v), 6).alias("mean"),
         F.round(F.stddev_samp(v), 4).alias("sd"),
         F.round(1.96 * F.stddev_samp(v) / F.sqrt(F.count(v).cast("double")), 4).alias("ci95"),
+        F.round(F.kurtosis(v) + 3, 4).alias("kurtosis"),
         F.round(F.max(v) - F.min(v), 4).alias("range"),
-        F.round(F.percentile(v, F.lit(0.5)), 6).alias("p50"),
-        F.round(F.percentile(v, F.lit(0.95)), 6).alias("p95"),
+        F.max(v).alias("_max"),
+        F.percentile(v, F.array(*[F.lit(p / 100) for p in PERCENTILES])).alias("_p"),
     )
+    named = [F.round(F.col("_p")[i], 6).alias(f"p{p:g}".replace(".", "_")) for i, p in enumerate(PERCENTILES)]
+    return got.select("grp", "n", "mean", "sd", "ci95", "kurtosis", "range", F.round(F.col("_max") / (F.col("_p")[PERCENTILES.index(50.0)] + 1e-6), 4).alias("max_by_median"), *named)
 
 
 def share_of_total(df: DataFrame, by: list[str], within: list[str], value: Column) -> DataFrame:

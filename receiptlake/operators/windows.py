@@ -94,9 +94,15 @@ def jumps(df: DataFrame, by: str, order: list[str], value: str, limit: float) ->
     return df.select(F.col(by), d.alias("d")).groupBy(by).agg(F.count_if(F.col("d") > limit).alias("n_jumps"))
 
 
+def numbered(df: DataFrame, by: list[str], order: list[str | Column], out: str) -> DataFrame:
+    """df with the place of each row, from 1, in its group, in an order that is unique there; ranges in place of whole groups."""
+    ordered = df.withColumn("_o", F.struct(*order)).withColumn("_one", F.lit(1).cast("bigint"))
+    return running_total(ordered, by, "_o", "_one", out).drop("_o", "_one")
+
+
 def dealt(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
-    """Rows dealt to n modes in turn within their group."""
-    return df.withColumn("mode", F.pmod(F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1, F.lit(n)))
+    """Rows dealt to n modes in turn within their group, however large it is."""
+    return numbered(df, by, order, "_nth").withColumn("mode", F.pmod(F.col("_nth") - 1, F.lit(n)).cast("int")).drop("_nth")
 
 
 def stop_points(df: DataFrame, by: str, step: str, score: str, patience: int) -> DataFrame:

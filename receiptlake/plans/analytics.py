@@ -137,9 +137,22 @@ def spend_moments(spark: SparkSession, d: str) -> DataFrame:
     return profiling.moments(_receipts(spark, d).where("total > 0"), "category", _C("total"))
 
 
+_PCT = ", ".join(f"round(quantile_cont(total, {p / 100}), 6) AS " + f"p{p:g}".replace(".", "_") for p in profiling.PERCENTILES)
 SQL["spend_moments"] = f"""
-SELECT category AS grp, count(total) AS n, round(avg(total), 6) AS mean, round(stddev_samp(total), 4) AS sd, round(1.96::DOUBLE * stddev_samp(total) / sqrt(count(total)::DOUBLE), 4) AS ci95, round(max(total) - min(total), 4) AS "range",
-  round(quantile_cont(total, 0.5), 6) AS p50, round(quantile_cont(total, 0.95), 6) AS p95 FROM ({_OWN}) WHERE total > 0 GROUP BY 1"""
+SELECT category AS grp, count(total) AS n, round(avg(total), 6) AS mean, round(stddev_samp(total), 4) AS sd, round(1.96::DOUBLE * stddev_samp(total) / sqrt(count(total)::DOUBLE), 4) AS ci95, round(kurtosis_pop(total) + 3, 4) AS kurtosis,
+  round(max(total) - min(total), 4) AS "range", round(max(total) / (median(total) + 1e-6::DOUBLE), 4) AS max_by_median, {_PCT} FROM ({_OWN}) WHERE total > 0 GROUP BY 1"""
+
+
+#: Share of the events from which on a bin is named here, where values are spread evenly.
+DOMINANT = 0.028
+
+
+def dominant_bins(spark: SparkSession, d: str) -> DataFrame:
+    return profiling.dominant_bins(table(spark, d, "events"), _C("value"), 0.0, 180.0, 36, DOMINANT)
+
+
+SQL["dominant_bins"] = f"""WITH h AS (SELECT CAST(floor(value / 5.0::DOUBLE) AS INTEGER) AS bin, count(*) AS n FROM events WHERE value >= 0 AND value < 180 GROUP BY 1)
+SELECT bin, n, round(n::DOUBLE / (SELECT sum(n) FROM h), 6) AS share FROM h WHERE n > {DOMINANT}::DOUBLE * (SELECT sum(n) FROM h)"""
 
 
 def value_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -220,6 +233,14 @@ def near_hashes(spark: SparkSession, d: str) -> DataFrame:
 SQL["near_hashes"] = f"WITH h AS MATERIALIZED ({_BITS}) SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS distance FROM h x JOIN h y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.h, y.h)) <= 16"
 
 
+def near_hash_links(spark: SparkSession, d: str) -> DataFrame:
+    """How many others are near each hash: the form of near_hashes that stays linear where many are copies."""
+    return dedup.hash_links(_hashes(spark, d), "vec_id", _C("h"), 18)
+
+
+SQL["near_hash_links"] = f"WITH h AS MATERIALIZED ({_BITS}) SELECT x.vec_id, count(*) AS n_near FROM h x JOIN h y ON x.vec_id <> y.vec_id WHERE bit_count(xor(x.h, y.h)) <= 18 GROUP BY 1"
+
+
 def near_hashes_recent(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select("vec_id", "label", hashing.median_bits(_C("embedding")).alias("h"))
     return dedup.hash_pairs_recent(rows, "vec_id", _C("h"), _C("label").cast("bigint"), "vec_id", 24, 300)
@@ -354,7 +375,7 @@ SQL["upload_order"] = "SELECT export_id, CAST(row_number() OVER (PARTITION BY me
 
 ALL = [
     user_analytics, category_share, other_bucket, top_category, label_counts, category_by_source, missing_rates, missing_by_source, distinct_counts, repeated_rows, conflicting_labels, readable_by_source,
-    spend_moments, value_histogram, median_by_category, exact_duplicates, first_of_each, seen_before, fuzzy_duplicates, claimed_by_others, near_hashes, near_hashes_recent, nearest_reference, resolved_images,
+    spend_moments, value_histogram, dominant_bins, median_by_category, exact_duplicates, first_of_each, seen_before, fuzzy_duplicates, claimed_by_others, near_hashes, near_hash_links, near_hashes_recent, nearest_reference, resolved_images,
     unresolved_images, order_lines, spend_anomalies, interest_vectors, recent_merchants, latest_users, value_ranks, value_jumps, dealt_modes, stop_points, running_balances, upload_order,
 ]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from math import exp, factorial
 
 import numpy as np
 import pandas as pd
@@ -146,8 +147,16 @@ x AS (SELECT total, CASE WHEN nb >= 5 THEN md ELSE 100.0::DOUBLE END AS ref FROM
 SELECT m AS multiplier, count(*) AS n, round(avg(CASE WHEN ln(1 + CASE WHEN m = 1 THEN total ELSE ref * m END) - ln(1 + greatest(ref, 1e-9::DOUBLE)) > 1.9::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS flag_rate FROM x, m GROUP BY 1"""
 
 
+BOOTSTRAPS = 4000
+
+
 def score_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.bootstrap_auc(_scored(spark, d), "source", "y", "s1", "s2", 200)
+    return evaluation.bootstrap_auc(_scored(spark, d), "source", "y", "s1", "s2", BOOTSTRAPS)
+
+
+def _auc_sql(score: str) -> str:
+    return f"""(SELECT rep, sum(p * (b + n / 2.0::DOUBLE)) / (sum(p) * sum(n)) AS auc FROM (SELECT rep, s, p, n, coalesce(sum(n) OVER (PARTITION BY rep ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+FROM (SELECT rep, s, sum(w * p)::DOUBLE AS p, sum(w * n)::DOUBLE AS n FROM (SELECT source, {score} AS s, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = 0) AS n FROM r GROUP BY 1, 2) JOIN w USING (source) GROUP BY 1, 2)) GROUP BY 1 HAVING sum(p) > 0 AND sum(n) > 0)"""
 
 
 def stratified_split(spark: SparkSession, d: str) -> DataFrame:
@@ -164,6 +173,11 @@ def grouped_folds(spark: SparkSession, d: str) -> DataFrame:
     return sampling.group_folds(table(spark, d, "fraud_manifest"), text.receipt_group(_C("image_path")), 5).select("manifest_id", "grp", "fold")
 
 
+_STEPS = [round(sum(exp(-1.0) / factorial(j) for j in range(k + 1)), 8) for k in range(5)]
+SQL["score_bootstrap"] = f"""WITH r AS (SELECT * FROM ({_DOCS}) WHERE source IS NOT NULL), w AS (SELECT source, rep, CASE {" ".join(f"WHEN u < {x}::DOUBLE THEN {k}" for k, x in enumerate(_STEPS))} ELSE 5 END AS w
+FROM (SELECT source, rep, {_DRAW.format("source || '|' || CAST(rep AS VARCHAR)")} / {float(16**7)}::DOUBLE AS u FROM (SELECT DISTINCT source FROM r), (SELECT unnest(range({BOOTSTRAPS})) AS rep))),
+d AS (SELECT x.auc - z.auc AS d FROM {_auc_sql("s1")} x JOIN {_auc_sql("s2")} z USING (rep))
+SELECT count(*) AS n_reps, round(avg(d), 6) AS mean_diff, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high, round(2 * least(avg(CASE WHEN d <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), avg(CASE WHEN d >= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)), 6) AS p_value FROM d"""
 _GRP = r"lower(trim(regexp_replace(regexp_replace(string_split(image_path, '/')[-1], '\.[^.]+$', ''), '_tampered(_v\d+)?$', '')))"
 SQL["grouped_folds"] = f"SELECT manifest_id, grp, CAST({_DRAW.format('grp')} % 5 AS INTEGER) AS fold FROM (SELECT manifest_id, {_GRP} AS grp FROM fraud_manifest)"
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import run_dir
 
 
 def csv_out(df: DataFrame, path: str, columns: list[str]) -> str:
@@ -63,8 +63,8 @@ def batch_tables(parts: dict[str, DataFrame], root: str, batch: int) -> None:
 def committed(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Rows of the batches all of whose tables are there."""
     done = spark.read.parquet(f"{root}/_done").select(F.col("batch").cast("long").alias("batch")).distinct()
-    return spark.read.parquet(f"{root}/{name}").join(F.broadcast(done), "batch", "left_semi")
+    return spark.read.parquet(f"{root}/{name}").join(done, "batch", "left_semi")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"

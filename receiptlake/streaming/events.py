@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..session import STATE_STORE
 from ..sources.writers import scratch
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_SETTING = "spark.sql.streaming.stateStore.providerClass"
 
 
 def source(spark: SparkSession, path: str, schema, at: str = "ts") -> DataFrame:
@@ -119,22 +120,16 @@ def stateful(stream: DataFrame, by: str, processor: StatefulProcessor, schema: s
 def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that is there, through the stream once, into a table of the shared folder; complete results keep the last batch."""
     spark = df.sparkSession
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    if spark.conf.get(_SETTING, None) != STATE_STORE:  # sessions not built here; never set back, so that streams side by side agree
+        spark.conf.set(_SETTING, STATE_STORE)
     root = scratch(spark, name)
-    try:
-        if mode == "append":
-            q = df.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-        else:
-
-            def save(batch: DataFrame, i: int) -> None:
-                batch.write.mode("overwrite").parquet(f"{root}/out/{'last' if mode == 'complete' else i}")
-
-            q = df.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-        q.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    if mode == "append":
+        q = df.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    else:
+
+        def save(batch: DataFrame, i: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{root}/out/{'last' if mode == 'complete' else i}")
+
+        q = df.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
     return spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(f"{root}/out")
