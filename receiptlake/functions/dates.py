@@ -61,3 +61,13 @@ def day_parts(day: Column) -> tuple[Column, Column]:
 
 def iso_instant(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def millis_or_zero(iso: Column) -> Column:
+    """Milliseconds since 1970 of an ISO text, 0 if it can't be read."""
+    return F.coalesce(F.unix_millis(F.try_to_timestamp(iso)), F.lit(0))
+
+
+def now_iso() -> Column:
+    """The time of the run in UTC as ISO text; the same for all rows."""
+    return iso_instant(F.current_timestamp())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that decide the three spend classes; food comes before grocery.
@@ -105,9 +105,27 @@ def without_fence(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
 
 
+def field_messages(fields: dict[str, Column]) -> Column:
+    """An array of the messages of the conditions that hold."""
+    return F.array_compact(F.array(*[F.when(cond, F.lit(text)) for text, cond in fields.items()]))
+
+
 def missing_fields(fields: dict[str, Column]) -> Column:
     """The messages of the conditions that hold, joined by ``; ``."""
-    return F.array_join(F.array_compact(F.array(*[F.when(cond, F.lit(text)) for text, cond in fields.items()])), "; ")
+    return F.array_join(field_messages(fields), "; ")
+
+
+def search(df: DataFrame, term: str, columns: list[str]) -> DataFrame:
+    """Rows of which one of the columns holds a term, whatever its case."""
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.lower(F.coalesce(F.col(c), F.lit(""))).contains(term.lower())
+    return df.where(hit)
+
+
+def in_category(df: DataFrame, column: str, category: str) -> DataFrame:
+    """Rows whose category holds a word; ``all`` keeps every row."""
+    return df if category == "all" else search(df, category, [column])
 
 
 def sentence_list(parts: Column) -> Column:
@@ -139,3 +157,44 @@ def words_share(text: Column, vocabulary: list[str]) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]{3,})"), F.lit(1))
     known = F.filter(words, lambda w: w.isin(vocabulary))
     return F.size(known) / F.greatest(F.size(words), F.lit(1))
+
+
+def normal_email(c: Column) -> Column:
+    return F.lower(F.trim(c))
+
+
+# Words of error messages by what can be done about them, the first that fits holds.
+ERROR_CLASSES = {
+    "unsupported": ["unsupported", "not supported", "invalid argument", "not found"],
+    "quota": ["quota", "rate limit", "429", "exhausted"],
+    "transient": ["503", "500", "timeout", "unavailable", "overloaded", "deadline"],
+}
+
+
+def error_class(message: Column) -> Column:
+    """unsupported, quota, transient or permanent by the words of a message; null for a null one."""
+    m, out = F.lower(message), F.lit("permanent")
+    for name, words in reversed(ERROR_CLASSES.items()):
+        out = F.when(F.regexp_like(m, F.lit("|".join(words))), F.lit(name)).otherwise(out)
+    return F.when(message.isNotNull(), out)
+
+
+def lakh_grouped(whole: Column) -> Column:
+    """A whole number with its last three digits apart and the others in pairs, as in 12,34,567."""
+    digits = F.abs(whole).cast("string")
+    head = F.substring(digits, F.lit(1), F.greatest(F.length(digits) - 3, F.lit(0)))
+    pairs = F.regexp_replace(head, r"(?<=\d)(?=(?:\d\d)+$)", ",")
+    grouped = F.when(F.length(digits) > 3, F.concat(pairs, F.lit(","), F.right(digits, F.lit(3)))).otherwise(digits)
+    return F.concat(F.when(whole < 0, F.lit("-")).otherwise(F.lit("")), grouped)
+
+
+def found_in_text(c: Column) -> dict[str, Column]:
+    """What a receipt's text holds: its number behind a word for it, how many dates and amounts, and how many words of three letters on."""
+    t = F.lower(F.coalesce(c, F.lit("")))
+    number = F.regexp_extract(t, r"(?:receipt|invoice|bill|inv|ref|no)\.?\s*(?:no\.?|#|:)?\s*([a-z]*\d[a-z\d-]{2,})", 1)
+    return {
+        "number": F.nullif(number, F.lit("")),
+        "n_dates": F.size(F.regexp_extract_all(t, F.lit(r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"), F.lit(1))),
+        "n_amounts": F.size(F.regexp_extract_all(t, F.lit(r"(\d+\.\d{2})"), F.lit(1))),
+        "n_words": F.size(F.regexp_extract_all(t, F.lit(r"([a-z]{3,})"), F.lit(1))),
+    }

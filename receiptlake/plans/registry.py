@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, general, quality, scalars
+from . import analytics, general, quality, records, scalars
 
-_PARTS = [general, scalars, analytics, quality]
+_PARTS = [general, scalars, analytics, quality, records]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

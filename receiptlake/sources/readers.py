@@ -100,3 +100,51 @@ def where_equal(df: DataFrame, **values) -> DataFrame:
 
 def latest(df: DataFrame, at: str, n: int, tie: str) -> DataFrame:
     return df.orderBy(F.desc(at), tie).limit(n)
+
+
+def store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A store of JSON lines; one that is missing is empty, and lines that can't be read are left out."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    got = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path).cache()
+    return got.where("_corrupt IS NULL").drop("_corrupt")
+
+
+def keyed(spark: SparkSession, path: str, columns: list[str], what: str) -> DataFrame:
+    """A table of predictions by key; a missing one is an error that says what is missing."""
+    if not exists(spark, path):
+        raise FileNotFoundError(f"{what} are not at {path}")
+    return csv_strings(spark, path, columns)
+
+
+def covered_or(rows: DataFrame, cache: DataFrame, key: str, compute) -> tuple[DataFrame, bool]:
+    """(features of rows, whether they came from the cache): the cache only counts if it has all keys of rows; else compute(rows)."""
+    if rows.select(key).join(cache.select(key), key, "left_anti").isEmpty():
+        return rows.select(key).distinct().join(cache, key), True
+    return compute(rows), False
+
+
+def aligned(parts: dict[str, DataFrame], key: str, label: str, score: str) -> DataFrame:
+    """(key, label, one column a part) of predictions by several models; an error if a key is missing in one or labels disagree."""
+    out = None
+    for name, df in parts.items():
+        one = df.select(F.col(key), F.col(label).alias(f"_l_{name}"), F.col(score).alias(name))
+        out = one if out is None else out.join(one, key, "full")
+    first = next(iter(parts))
+    bad = F.lit(False)
+    for name in parts:
+        bad = bad | F.col(f"_l_{name}").isNull() | (F.col(f"_l_{name}") != F.col(f"_l_{first}"))
+    bad = F.coalesce(bad, F.lit(True))
+    checked = out.withColumn("_ok", F.when(bad, F.raise_error(F.concat(F.lit("predictions disagree on "), F.col(key).cast("string")))).otherwise(F.lit(1)))
+    return checked.where("_ok = 1").select(key, F.col(f"_l_{first}").alias(label), *parts)
+
+
+def constant(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A relation written in the program, such as a catalogue."""
+    return spark.createDataFrame(rows, schema)
+
+
+def first_images(spark: SparkSession, folder: str, n: int | None = None, extensions: str = "{jpg,jpeg,png,JPG,JPEG,PNG}") -> DataFrame:
+    """path and bytes of the image files of a folder, sorted by path, the first n of them if asked."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extensions}").load(folder).select("path", "length").orderBy("path")
+    return f if n is None else f.limit(n)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +69,55 @@ def committed(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def replaced(df: DataFrame, path: str) -> str:
+    """A table put in place of another one whole: written aside, then renamed, the old one moved away before and removed after."""
+    spark = df.sparkSession
+    aside, old = f"{path}-new-{uuid.uuid4().hex}", f"{path}-old-{uuid.uuid4().hex}"
+    df.write.parquet(aside)
+    fs, at = _fs(spark, path)
+    there = fs.exists(at)
+    if there:
+        fs.rename(at, _fs(spark, old)[1])
+    fs.rename(_fs(spark, aside)[1], at)
+    if there:
+        fs.delete(_fs(spark, old)[1], True)
+    return path
+
+
+def rewritten_once(df: DataFrame, path: str, derived: dict) -> DataFrame:
+    """The table at path with derived columns computed anew; what was there first is kept beside it as ``<path>-pristine`` and every
+    rewrite starts from it, so that a second one changes nothing. Written from df if there is none yet."""
+    spark = df.sparkSession
+    pristine = f"{path}-pristine"
+    fs, kept = _fs(spark, pristine)
+    if not fs.exists(kept):
+        df.write.parquet(pristine)
+    replaced(derived_again(spark.read.parquet(pristine), derived), path)
+    return spark.read.parquet(path)
+
+
+def truncated(spark: SparkSession, paths: list[str]) -> int:
+    """Empties tables and counts what is left in all of them; anything but zero is an error."""
+    for p in paths:
+        replaced(spark.read.parquet(p).limit(0), p)
+    left = sum(spark.read.parquet(p).count() for p in paths)
+    if left:
+        raise RuntimeError(f"{left} rows remain")
+    return left
+
+
+def audited(accepted: DataFrame, blocked: DataFrame, path: str, audit: str) -> tuple[str, str]:
+    """Writes accepted rows and appends blocked ones to an audit table; an audit that can't be written doesn't stop the rows."""
+    accepted.write.mode("append").parquet(path)
+    try:
+        blocked.write.mode("append").parquet(audit)
+    except Exception as e:  # the audit is a side output
+        warnings.warn(f"no audit written: {e}", stacklevel=2)
+    return path, audit

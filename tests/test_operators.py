@@ -130,7 +130,8 @@ def test_image_features(spark):
     df = spark.createDataFrame([("p", 96, 96, 1, bytearray(g.tobytes())), ("bad", 5, 5, 3, bytearray(b"x"))], "path string, width int, height int, channels int, pixels binary")
     got = {r.path: r for r in images.features(df).collect()}
     assert got["bad"].features is None and len(got["p"].features) > 25
-    assert images.altered(df.where("path = 'p'")).count() == 2
+    ways = {r.way: bytes(r.pixels) for r in images.altered(df.where("path = 'p'")).collect()}
+    assert sorted(ways) == sorted(images.WAYS) and len(set(ways.values()) | {g.tobytes()}) == 5
 
 
 def test_running_totals_over_ranges(spark):
