@@ -9,17 +9,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import imagenames
+from . import alterations, imagenames
 from .setjoin import bipartite
 
 #: Jaccard similarity of the three-letter shingles of two names with the same numbers from the same source.
 SIMILAR = 0.5
 
 
-def _parts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for paths in parts:
-        got = [imagenames.number_and_words(imagenames.original(p)) if p else (None, None) for p in paths]
-        yield pd.DataFrame(got, columns=["number", "words"])
+def _parts(marks: tuple[frozenset[str], frozenset[str]]):
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for paths in parts:
+            got = [imagenames.number_and_words(imagenames.original(p, *marks)) if p else (None, None) for p in paths]
+            yield pd.DataFrame(got, columns=["number", "words"])
+
+    return run
 
 
 def image_overlaps(df: DataFrame, key: str = "rec_id", path: str = "image_path", source: str = "source", split: str = "split", train: str = "train") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -31,7 +34,7 @@ def image_overlaps(df: DataFrame, key: str = "rec_id", path: str = "image_path",
     however many, are one set. Null and blank paths have no name; rows of no split or other splits than the training one
     count as evaluated, except for a null split, which is left out.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(split).alias("split"), F.pandas_udf(_parts, "number string, words string")(F.col(path)).alias("p")).where("p.words IS NOT NULL AND split IS NOT NULL AND (p.words <> '' OR p.number <> '')")
+    rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(split).alias("split"), F.pandas_udf(_parts(alterations.mined(df, path)), "number string, words string")(F.col(path)).alias("p")).where("p.words IS NOT NULL AND split IS NOT NULL AND (p.words <> '' OR p.number <> '')")
     src = F.coalesce("source", F.lit(""))
     rows = cut(rows.select("key", "split", "source", "p.number", "p.words", F.xxhash64(src, "p.number", "p.words").alias("name"), (F.col("split") == train).alias("trained")), "rows")
     names = rows.select("name", "trained", src.alias("s"), "number", "words").distinct()

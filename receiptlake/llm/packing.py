@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .ranking import ranked
+from ..operators.ranking import ranked
 
 CAPACITY = 2048
 #: Windows of the tiers, as parts of the capacity; each divides the next, so that windows fill a container without a rest.

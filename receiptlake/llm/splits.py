@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,20 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import imagenames
-from .ranking import ranked
+from . import alterations, imagenames
+from ..operators.ranking import ranked
 from .unionfind import components
 
 TARGETS = {"train": 0.8, "val": 0.1, "test": 0.1}
 
 
-def _originals(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for paths in parts:
-        yield pd.Series([imagenames.original(p) for p in paths], dtype="object")
+def original_name(path: Column | str, marks: tuple[frozenset[str], frozenset[str]] = (frozenset(), frozenset())) -> Column:
+    """The name of the image that a file goes back to; without any marks the file's own name, written one way."""
 
+    def originals(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for paths in parts:
+            yield pd.Series([imagenames.original(p, *marks) for p in paths], dtype="object")
 
-def original_name(path: Column | str) -> Column:
-    return F.pandas_udf(_originals, "string")(path)
+    return F.pandas_udf(originals, "string")(path)
 
 
 def grouped(df: DataFrame, key: str, links: dict[str, Column]) -> DataFrame:
@@ -33,7 +35,7 @@ def grouped(df: DataFrame, key: str, links: dict[str, Column]) -> DataFrame:
     rows share is one node, not a clique.
     """
     names = list(links)
-    rows = df.select(F.col(key).alias("_k"), *[F.when(x.isNotNull(), F.concat(F.lit(f"{n}:"), x.cast("string"))).alias(f"_l{i}") for i, (n, x) in enumerate(links.items())])
+    rows = df.select(F.col(key).alias("_k"), *[F.when(x.isNotNull(), F.concat(F.lit(f"{n.strip()}:"), x.cast("string"))).alias(f"_l{i}") for i, (n, x) in enumerate(links.items())])
     cols = [f"_l{i}" for i in range(len(names))]
     rows = rows.withColumn("_first", F.coalesce(*cols))
     if len(cols) > 1:
@@ -55,7 +57,7 @@ def quotas(classes: list[tuple[str, int, int]], targets: dict[str, float]) -> li
     """(stratum, size, split, first rank, last rank) from (stratum, size of its groups, number of them).
 
     Each stratum on its own, the largest groups first; each goes to the split furthest below its target, in records. Groups
-    of equal size are dealt out together: as many to each split as bring all to one level, then the rest one by one.
+    of equal size are dealt out together with the same result as one by one, in steps that don't grow with their number.
     """
     out = []
     by: dict[str, list[tuple[int, int]]] = {}
@@ -67,15 +69,12 @@ def quotas(classes: list[tuple[str, int, int]], targets: dict[str, float]) -> li
         lack = {k: total * v / whole for k, v in targets.items()}
         for size, n in sorted(sizes, reverse=True):
             give = dict.fromkeys(targets, 0)
-            if n > 4 * len(targets):
-                order = sorted(lack.values(), reverse=True)
-                level = next((x for i in range(len(order), 0, -1) if (x := (sum(order[:i]) - size * n) / i) <= order[i - 1]), order[0])
-                for k, v in lack.items():
-                    give[k] = max(0, int((v - level) // size))
-                while sum(give.values()) > n:
-                    give[max(give, key=lambda k: give[k])] -= 1
-                for k in give:
-                    lack[k] -= size * give[k]
+            # one by one the largest of lack - j * size is taken; those above this level are taken for certain, whatever the order
+            order = sorted(lack.values(), reverse=True)
+            level = size + next((x for i in range(len(order), 0, -1) if (x := (sum(order[:i]) - size * n) / i) <= order[i - 1]), order[0])
+            for k, v in lack.items():
+                give[k] = max(0, math.ceil((v - level) / size))
+                lack[k] -= size * give[k]
             for _ in range(n - sum(give.values())):
                 k = max(targets, key=lambda x: lack[x])
                 give[k] += 1
@@ -106,15 +105,19 @@ def assigned(members: DataFrame, stratum: str | None = None, targets: dict[str,
     return ranked(groups, ["stratum", "size"], "grp", n).join(share, on).select("grp", "split")
 
 
-def image_links(path: str) -> dict[str, Column]:
-    """Images are related by their original's name, and copies by the same path written in any way."""
+def image_links(path: str, marks: tuple[frozenset[str], frozenset[str]]) -> dict[str, Column]:
+    """Images are related by their path and their name, each written in any way, and by the name without the marks."""
     same = F.lower(F.regexp_replace(F.trim(F.col(path)), r"\\", "/"))
-    return {"image": original_name(path), "path": F.when(F.length(same) > 0, same)}
+    own, base = original_name(path), original_name(path, marks)
+    # names are one kind of value, so that a name with marks meets the file that has it without
+    return {"path": F.when(F.length(same) > 0, same), "name": own, "name ": base}
 
 
 def image_groups(df: DataFrame, key: str, path: str) -> DataFrame:
-    """(key, grp) of images by what they go back to. Null and blank paths, and names that say nothing, stand alone."""
-    return grouped(df, key, image_links(path))
+    """(key, grp) of images by what they go back to. The marks that tell altered versions are mined from the names of df; files join
+    their name and that without marks, and all that hangs together is a group. Null and blank paths, and names that say
+    nothing, stand alone."""
+    return grouped(df, key, image_links(path, alterations.mined(df, path)))
 
 
 def image_splits(df: DataFrame, key: str, path: str, label: str, targets: dict[str, float] = TARGETS) -> DataFrame:
