@@ -13,13 +13,7 @@ from ..session import cut
 from . import postal
 from .groups import HELD, by_group, salted
 from .orgnames import damerau
-
-#: A rewrite is kept if it was seen in this many places, if its likelihood ratio is at least this (p < 0.001), and if it is
-#: this share of what the word was found to stand for.
-SUPPORT, RATIO, SHARE = 3, 10.83, 0.5
-#: Share of the distinct addresses that hold a word from which on it is rewritten, so that the rules are at most the words of
-#: an address divided by this, whatever the corpus; rarer slips are left to the comparison of places.
-COMMON = 1e-4
+from .rewrites import mined
 
 _READ = "address string, unit string, floor string, section string, road string, post string, words array<string>, said array<string>"
 
@@ -41,37 +35,11 @@ def _tokens() -> Column:
 
 
 def rewrites(read: DataFrame) -> DataFrame:
-    """(a, b): words a that are another way to write b, mined from addresses that agree elsewhere.
-
-    Addresses agree if unit, section and road, or unit, section and postcode are the same. Each is held against the commonest
-    way of its place: a word that only it has and one that only the other has are a pair if one may be short for the other
-    (its letters in order, the first one first) or a slip of it. A pair counts once a place, so that repeated rows don't
-    count. Kept are the significant pairs, from the rarer to the commoner word or to one that readers know
-    written out. No pairs of addresses are made, and
-    what is shuffled is combined by place and words first.
-    """
-    full = read.where("unit <> '' AND section <> ''").select("unit", "section", "road", "post", F.array_sort(_tokens()).alias("tokens"))
+    """(a, b): words a that are another way to write b, mined from addresses that agree elsewhere: those of one unit, section and
+    road, and those of one unit, section and postcode; see ``rewrites.mined``."""
+    full = read.where("unit <> '' AND section <> ''").select("unit", "section", "road", "post", _tokens().alias("tokens"))
     keys = F.array_compact(F.array(F.when(F.col("road") != "", F.xxhash64(F.lit("road"), "unit", "section", "road")), F.when(F.length("post") == 5, F.xxhash64(F.lit("post"), "unit", "section", "post"))))
-    ways = cut(full.select(F.explode(keys).alias("key"), "tokens").groupBy("key", "tokens").agg(F.count("*").alias("n")), "ways")
-    usual = ways.groupBy("key").agg(F.max_by("tokens", F.struct("n", F.size("tokens"), "tokens")).alias("usual"), F.count("*").alias("k")).where("k > 1").select("key", "usual")
-    apart = ways.join(usual, "key").select("key", F.explode(F.array_except("tokens", "usual")).alias("x"), F.array_except("usual", "tokens").alias("ys")).select("key", "x", F.explode("ys").alias("y")).where("length(x) > 1 AND length(y) > 1")
-    short, long = F.when(F.length("x") <= F.length("y"), F.col("x")).otherwise(F.col("y")), F.when(F.length("x") <= F.length("y"), F.col("y")).otherwise(F.col("x"))
-    within = F.expr("long RLIKE concat('^', regexp_replace(short, '(.)', '$1.*'), '$')")
-    alike = apart.select("key", "x", "y", short.alias("short"), long.alias("long")).where((F.levenshtein("x", "y", 1) >= 0) | within).select("key", F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("p"))
-    pairs = cut(alike.select("key", "p.a", "p.b").distinct().groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
-    of_a = pairs.groupBy("a").agg(F.sum("n").alias("na"))
-    of_b = pairs.groupBy("b").agg(F.sum("n").alias("nb"))
-    words = cut(read.select(F.explode(_tokens()).alias("w")).groupBy("w").agg(F.count("*").alias("f")), "words")
-    total, rows = pairs.agg(F.sum("n")).first()[0] or 0, read.count()
-    c = pairs.where(f"n >= {SUPPORT}").join(of_a, "a").join(of_b, "b").join(words.select(F.col("w").alias("a"), F.col("f").alias("fa")), "a").join(words.select(F.col("w").alias("b"), F.col("f").alias("fb")), "b").withColumn("nn", F.lit(total))
-
-    def term(k: str, row: str, col: str) -> str:
-        return f"(CASE WHEN ({k}) > 0 THEN ({k}) * ln(({k}) * nn / (({row}) * ({col}))) ELSE 0 END)"
-
-    ratio = F.expr(f"2 * ({term('n', 'na', 'nb')} + {term('na - n', 'na', 'nn - nb')} + {term('nb - n', 'nn - na', 'nb')} + {term('nn - na - nb + n', 'nn - na', 'nn - nb')})")
-    out = sorted(postal.KINDS)
-    kept = c.where(~F.col("a").isin(out) & (F.col("b").isin(out) | (F.col("fa") < F.col("fb"))) & (F.col("fa") >= COMMON * rows) & (F.col("n") >= SHARE * F.col("na")) & (ratio >= RATIO))
-    return kept.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    return mined(full.select(F.explode(keys).alias("key"), "tokens"), read.select(_tokens().alias("tokens")), postal.KINDS)
 
 
 def renormalised(addresses: DataFrame) -> tuple[DataFrame, dict[str, str]]:

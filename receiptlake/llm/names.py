@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -12,22 +13,42 @@ from pyspark.sql import functions as F
 from ..session import cut
 from . import orgnames
 from .groups import HELD, by_group, salted
+from .rewrites import mined
 from .unionfind import components
 
 #: Letters from which on a word may be a slip of another, and from which on two edits count beside equal words.
 SLIP, TWICE = 4, 7
 #: Letters from which on a word tells so much that a short word beside it may stand for several spellings.
 TELLING = 6
+#: Soft weighted similarity from which on two names that met are one organisation.
+ALIKE = 0.6
 
 
-def _parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in parts:
-        out = []
-        for name in pdf["name"]:
-            trade, words, doubt = orgnames.parse(name)
-            for i, s in enumerate(orgnames.segmentations(words, doubt)):
-                out.append((name, trade, i, s))
-        yield pd.DataFrame(out, columns=["name", "trade", "way", "words"])
+def _parser(rules: dict[str, str]):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = []
+            for name in pdf["name"]:
+                trade, words, doubt = orgnames.parse(name, rules)
+                for i, s in enumerate(orgnames.segmentations(words, doubt)):
+                    out.append((name, trade, i, s))
+            yield pd.DataFrame(out, columns=["name", "trade", "way", "words"])
+
+    return run
+
+
+def _tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for names in parts:
+        yield pd.Series([orgnames.tokens(n) for n in names], dtype="object")
+
+
+def trade_words(names: DataFrame) -> dict[str, str]:
+    """Other ways to write the words of trades and legal forms, mined from names that have two longer words in common."""
+    texts = cut(names.select(F.pandas_udf(_tokens, "array<string>")("name").alias("tokens")), "tokens")
+    long = F.filter("tokens", lambda w: F.length(w) >= 4)
+    two = F.flatten(F.transform(long, lambda x, i: F.transform(F.slice(long, i + 2, F.size(long)), lambda y: F.xxhash64(x, y))))
+    found = mined(texts.where(F.size(long) > 1).select(F.explode(two).alias("key"), "tokens"), texts, orgnames.KNOWN)
+    return {r.a: r.b for r in found.where(F.col("b").isin(sorted(orgnames.KNOWN))).collect()}
 
 
 def names_of(*columns: DataFrame) -> DataFrame:
@@ -264,6 +285,33 @@ def _linked(groups: DataFrame, held: int = HELD) -> DataFrame:
     return links.union(first.select("u", "v")) if split else links
 
 
+def soft_similarity(u: list[tuple[str, float]], v: list[tuple[str, float]]) -> float:
+    """Soft weighted similarity of two names of (word, weight): the cosine of their weights, where words that may stand for each other
+    count as far as they are alike. Each word is aligned once, the heaviest first."""
+    left, got = dict(v), 0.0
+    for a, wa in sorted(u, key=lambda x: (-x[1], x[0])):
+        best = max(((orgnames.likeness(a, b), wb, b) for b, wb in left.items()), default=(0.0, 0.0, ""))
+        if best[0] > 0:
+            got += wa * best[1] * best[0]
+            del left[best[2]]
+    size = math.sqrt(sum(w * w for _, w in u) * sum(w * w for _, w in v))
+    return got / size if size else 0.0
+
+
+def _weighed(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    read = lambda s: [(w, float(x)) for w, x in (p.split("|") for p in s.split(" "))]
+    for u, v in parts:
+        yield pd.Series([soft_similarity(read(a), read(b)) for a, b in zip(u, v)], dtype="float64")
+
+
+def weighed(links: DataFrame, profiles: DataFrame, total: int) -> DataFrame:
+    """(u, v, score) of links(u, v) between profiles(profile, ws): rare words weigh more, by the logarithm of the names that don't have them."""
+    text = F.array_join(F.transform("ws", lambda x: F.concat_ws("|", x["word"], F.round(F.log(1 + F.lit(float(total)) / x["n"]), 4).cast("string"))), " ")
+    words = cut(profiles.select("profile", text.alias("t")), "weights")
+    got = links.where("u <> v").distinct().join(words.select(F.col("profile").alias("u"), F.col("t").alias("tu")), "u").join(words.select(F.col("profile").alias("v"), F.col("t").alias("tv")), "v")
+    return got.select("u", "v", F.pandas_udf(_weighed, "double")("tu", "tv").alias("score"))
+
+
 def organisations(names: DataFrame) -> DataFrame:
     """(name, org) of names(name): names with the same org mean one organisation.
 
@@ -273,7 +321,8 @@ def organisations(names: DataFrame) -> DataFrame:
     would share meet where they are alike without a letter or two (``near``). All this runs over distinct profiles of words and trade,
     not names, and links form a forest; all pairs are only made by ``pairs``.
     """
-    ways = cut(names.mapInPandas(_parse, "name string, trade string, way int, words array<string>"), "ways")
+    names = cut(names, "names")
+    ways = cut(names.mapInPandas(_parser(trade_words(names)), "name string, trade string, way int, words array<string>"), "ways")
     plain = ways.where("way = 0")
     vocabulary = cut(plain.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
     doubtful = ways.groupBy("name").agg(F.max("way").alias("m")).where("m > 0").select("name")
@@ -293,7 +342,7 @@ def organisations(names: DataFrame) -> DataFrame:
     keyed = opened.select(F.col("k.word").alias("key"), "profile", other.alias("other"), "trade", "n")
     links = _linked(keyed)
     links = links.union(near(profiles.select("profile", "trade", F.col("ws.word").alias("words"))))
-    comp = components(links)
+    comp = components(weighed(links, profiles, read.count()).where(F.col("score") >= ALIKE).select("u", "v"))
     return named.join(comp, F.col("profile") == F.col("node"), "left").select("name", F.coalesce("component", "profile").alias("org"))
 
 

@@ -6,42 +6,49 @@ import re
 import unicodedata
 from functools import lru_cache
 
-# Lines of trade with the ways they are written; legal forms; words that open the name of a branch.
+# Lines of trade, written out in the languages of the tables; legal forms; words that open the name of a branch. How
+# people shorten or misspell the words of a trade is not listed; it is mined.
 TRADES = {
-    "bakery": ["BAKERY", "BAKERIES", "BKRY"],
-    "cafe": ["CAFE", "CAFFE", "CAFES"],
-    "clinic": ["KLINIK", "CLINIC", "KLNK", "KLIN"],
-    "pharmacy": ["FARMASI", "PHARMACY", "FARM", "PHARM"],
-    "workshop": ["BENGKEL", "WORKSHOP", "BKL", "BGKL"],
-    "restaurant": ["RESTORAN", "RESTAURANT", "RSTRN", "REST", "RESTO"],
-    "toko": ["TOKO", "TK", "TOKKO"],
-    "warung": ["WARUNG", "WRG", "WR", "WRNG"],
-    "pasaraya": ["PASARAYA", "PRAYA", "PSRAYA"],
-    "clothes": ["PUSAT PAKAIAN", "PST PAKAIAN", "PAKAIAN", "PUSAT PKN"],
-    "books": ["KEDAI BUKU", "KDAI BUKU", "KD BUKU", "BUKU"],
-    "coffee": ["KEDAI KOPI", "KDAI KOPI", "KD KOPI", "KOPITIAM", "KOPI"],
-    "garden": ["GARDEN CENTRE", "GDN CENTRE", "GARDEN CTR", "GDN CTR", "GARDEN CENTER", "GARDEN", "GDN"],
-    "electrical": ["ELECTRICAL", "ELECTRICALS", "ELEC", "ELECT"],
-    "stationery": ["STATIONERY", "STATIONERIES", "STAT", "STATNRY"],
-    "optical": ["OPTICAL", "OPTICALS", "OPT"],
-    "mini market": ["MINI MARKET", "MINIMARKET", "MMKT", "MINI MKT", "MINI MART"],
-    "supermarket": ["SUPERMARKET", "SUPER MARKET", "SUPER MKT", "SMARKET", "SUPERMKT"],
-    "hardware": ["HARDWARE", "HDWARE", "HWARE"],
-    "foods": ["FOODS", "FOOD", "FDS"],
-    "sweets": ["SWEETS", "SWEET HOUSE", "SWEET", "SWTS"],
-    "textiles": ["TEXTILES", "TEXTILE", "TEX"],
-    "trading": ["TRADING", "TRDG", "TRAD"],
-    "enterprise": ["ENTERPRISE", "ENTERPRISES", "ENT", "ENTP"],
-    "chain stores": ["CHAIN STORES", "CHAIN STORE"],
+    "bakery": ["BAKERY"],
+    "cafe": ["CAFE"],
+    "clinic": ["KLINIK", "CLINIC"],
+    "pharmacy": ["FARMASI", "PHARMACY"],
+    "workshop": ["BENGKEL", "WORKSHOP"],
+    "restaurant": ["RESTORAN", "RESTAURANT"],
+    "toko": ["TOKO"],
+    "warung": ["WARUNG"],
+    "pasaraya": ["PASARAYA"],
+    "clothes": ["PUSAT PAKAIAN", "PAKAIAN"],
+    "books": ["KEDAI BUKU", "BUKU"],
+    "coffee": ["KEDAI KOPI", "KOPI"],
+    "garden": ["GARDEN CENTRE", "GARDEN"],
+    "electrical": ["ELECTRICAL"],
+    "stationery": ["STATIONERY"],
+    "optical": ["OPTICAL"],
+    "mini market": ["MINI MARKET", "MINIMARKET"],
+    "supermarket": ["SUPERMARKET", "SUPER MARKET"],
+    "hardware": ["HARDWARE"],
+    "foods": ["FOODS"],
+    "sweets": ["SWEETS", "SWEET HOUSE"],
+    "textiles": ["TEXTILES"],
+    "trading": ["TRADING"],
+    "enterprise": ["ENTERPRISE"],
+    "chain stores": ["CHAIN STORES"],
 }
 LEGAL = {"SDN", "BHD", "SENDIRIAN", "BERHAD", "PVT", "LTD", "PRIVATE", "LIMITED", "CO", "COMPANY", "PTE", "INC", "PLT", "LLP", "LLC", "CORP", "TBK", "PT", "CV", "SB"}
 BRANCH = re.compile(r"(?:\s[-–—@]\s?|\s?@\s|(?:^|\s)(?:CAW|CAWANGAN|CWGN|BRANCH|OUTLET|BR)\b\.?\s|\s#\s?\d).*$")
 _LETTERS = str.maketrans("01234568", "OIZEASGB")
 
 _FORMS = {tuple(w.split()): t for t, names in TRADES.items() for w in names}
+#: First words of two-word trades by their first letter and the second word, for names that only have the letter.
+_SECOND = {(n[0], n.split()[1]): n.split()[0] for names in TRADES.values() for n in names if " " in n}
 _WORDS = {w: (w,) for t, names in TRADES.items() for n in names for w in n.split()}
 
 
+#: Words that readers know written out.
+KNOWN = {*_WORDS, *LEGAL}
+
+
 def _less_one(w: str) -> set[str]:
     return {w[:i] + w[i + 1 :] for i in range(len(w))}
 
@@ -76,6 +83,9 @@ def lexical(word: str) -> str | None:
     """The word of a trade or legal form that this one is or is a misspelling of."""
     if word in _WORDS or word in LEGAL:
         return word
+    for one in (word[:-3] + "Y" if word.endswith("IES") else "", word[:-1] if word.endswith("S") else ""):
+        if one in _WORDS:
+            return one
     if len(word) >= 4:
         found = set().union(*(_NEAR.get(x, ()) for x in {word, *_less_one(word)}))
         close = sorted(w for w in found if (len(w) >= 5 or len(word) <= 4) and damerau(word, w, 1) <= 1)
@@ -84,8 +94,8 @@ def lexical(word: str) -> str | None:
     return None
 
 
-def parse(name: str) -> tuple[str, list[str], bool]:
-    """(line of trade or '', proper words in order, whether hyphens or other doubts join some of them)."""
+def cleaned(name: str) -> str:
+    """A name in plain capitals, without brackets, branches, numbers and marks within words; letters put for digits that stand for them."""
     u = "".join(c for c in unicodedata.normalize("NFKD", name.upper()) if not unicodedata.combining(c))
     u = re.sub(r"\([^)]*(?:\)|$)|\[[^\]]*\]|[\"“”`*]", " ", u).strip(" .,;:'")
     u = BRANCH.sub("", u)
@@ -94,9 +104,24 @@ def parse(name: str) -> tuple[str, list[str], bool]:
     u = re.sub(r"^M/S\b\.?", " ", u)
     u = re.sub(r"'S\b", "", u)
     u = re.sub(r"\bS/B\b", "SB", u)
-    u = re.sub(r"\b([A-Z])/(?=[A-Z])", r"\1", u).replace("P'RAYA", "PRAYA").replace("'", "")
-    u = re.sub(r"\bM\.\s?MKT\b", "MMKT", u)
-    u = re.sub(r"\bP\.?\s+(?=LTD|LIMITED)", " ", u)
+    u = re.sub(r"\b([A-Z])/(?=[A-Z])", r"\1", u).replace("'", "")
+    return re.sub(r"\bP\.?\s+(?=LTD|LIMITED)", " ", u)
+
+
+_PIECES = re.compile(r"[A-Z]+")
+
+
+def tokens(name: str) -> list[str]:
+    """The different words of a name, for mining."""
+    return sorted({*_PIECES.findall(cleaned(name))})
+
+
+def parse(name: str, rules: dict[str, str] | None = None) -> tuple[str, list[str], bool]:
+    """(line of trade or '', proper words in order, whether hyphens or other doubts join some of them); words are rewritten by the
+    rules first."""
+    u = cleaned(name)
+    if rules:
+        u = _PIECES.sub(lambda m: rules.get(m[0], m[0]), u)
     words = []
     for part in re.split(r"[\s,.&+/;:|]+", u):
         pieces = [p for p in re.split(r"[-–_]+", part) if p]
@@ -106,7 +131,7 @@ def parse(name: str) -> tuple[str, list[str], bool]:
     words = [(w, j) for i, (w, j) in enumerate(words) if not (w == "N" and 0 < i < len(words) - 1 and min(len(words[i - 1][0]), len(words[i + 1][0])) > 2)]  # "A N B"
     trade, proper, doubt, i = "", [], False, 0
     exact = any((w,) in _FORMS for w, _ in words) or any((a[0], b[0]) in _FORMS for a, b in zip(words, words[1:]))
-    words = [(w, j) for i, (w, j) in enumerate(words) if not (len(w) == 1 and w in "KP" and i + 1 < len(words) and words[i + 1][0] in ("BUKU", "KOPI", "PAKAIAN"))]
+    words = [(_SECOND.get((w, words[i + 1][0]), w) if len(w) == 1 and i + 1 < len(words) else w, j) for i, (w, j) in enumerate(words)]
     lex = [lexical(w) if not exact or lexical(w) in LEGAL else w if w in _WORDS else None for w, _ in words]  # a slip in a trade only counts where none is written right
     while i < len(words):
         w, joined = words[i]
@@ -120,7 +145,7 @@ def parse(name: str) -> tuple[str, list[str], bool]:
         if (lex[i],) in _FORMS and (not trade or w != lex[i] or len(w) > 3):
             trade, i = trade or _FORMS[lex[i],], i + 1
             continue
-        if lex[i] and lex[i] in ("PUSAT", "KEDAI", "KDAI", "CENTRE", "MARKET", "MKT", "MINI", "SUPER", "HOUSE", "CTR", "PST", "CHAIN", "STORES") and len(words) > 2:
+        if lex[i] and lex[i] in ("PUSAT", "KEDAI", "CENTRE", "MARKET", "MINI", "SUPER", "CHAIN", "STORES") and len(words) > 2:
             i += 1
             continue
         proper.append(w)
@@ -162,3 +187,14 @@ def compatible(short: str, full: str) -> bool:
     if len(short) == 3 and len(full) == 4:
         return short[0] == full[0] and damerau(short, full, 1) <= 1
     return len(short) >= 4 and damerau(short, full, 1 if len(full) < 8 else 2) <= (1 if len(full) < 8 else 2)
+
+
+def likeness(a: str, b: str) -> float:
+    """How far one word may stand for the other: 1 for the same, less by every edit, 0.75 for initials, beginnings and pet forms, 0 for others."""
+    if a == b:
+        return 1.0
+    longer = max(len(a), len(b))
+    edits = damerau(a, b, 2) if min(len(a), len(b)) >= 4 else 3
+    if edits <= 2:
+        return 1.0 - edits / longer
+    return 0.75 if compatible(a, b) else 0.0

@@ -70,9 +70,12 @@ def test_places_do_not_depend_on_what_a_task_holds(spark, held, monkeypatch):
     assert set(map(tuple, whole.to_numpy())) == set(map(tuple, parts.to_numpy()))
 
 
+SHORT = {"ENT": "ENTERPRISE", "MKT": "MARKET", "HWARE": "HARDWARE"}
+
+
 @pytest.mark.parametrize(("name", "trade", "words"), [("M/S BEPUN MIRHETE ENT. SDN BHD @ SUNGAI HINKREN", "enterprise", ["BEPUN", "MIRHETE"]), ("K. BUKU SURE YEMERU LTD", "books", ["SURE", "YEMERU"]), ("CAFERF0, PERZAIR ELECTRICAL", "electrical", ["CAFERFO", "PERZAIR"]), ("KARDEN & GANTESA CAFE", "cafe", ["KARDEN", "GANTESA"]), ("JOONRORBI M.MKT LTD", "mini market", ["JOONRORBI"]), ("D. KRABAINWEN SUPER MKT S/B - BERKO", "supermarket", ["D", "KRABAINWEN"])])
 def test_names_are_read(name, trade, words):
-    assert orgnames.parse(name)[:2] == (trade, words)
+    assert orgnames.parse(name, SHORT)[:2] == (trade, words)
 
 
 @pytest.mark.parametrize(("a", "b", "wanted"), [("D", "DONMIR", True), ("DAN", "DANGAR", True), ("GUNZY", "GUNZA", True), ("KURI", "BIRKUR", True), ("KRIRSA", "KIRSA", True), ("TUNVE", "RANGE", False), ("", "X", False)])
@@ -90,6 +93,7 @@ GROUPS = [
 
 @pytest.mark.parametrize("held", [HELD, 2])
 def test_organisations(spark, held, monkeypatch):
+    monkeypatch.setattr(names, "trade_words", lambda n: SHORT)
     monkeypatch.setattr(names._linked, "__defaults__", (held,))
     flat = [n for g in GROUPS for n in g]
     df = spark.createDataFrame([(n, "o") for n in [*flat, *flat, None, "", "  ", "UNKNOWN"]], "merchant string, org string")
@@ -152,3 +156,24 @@ def test_rewrites_are_mined_until_none_is_new(spark, monkeypatch):
     df = spark.createDataFrame([(f"NO 12, JALAN KIRSA 10/2, TAMAN NODIN {i}, 50570 PORT WAIHE",) for i in range(2)], "address string")
     assert addresses.renormalised(df)[1] == dict.fromkeys(chain[:-1], "H")
     assert next(rules, None) is None
+
+
+def test_words_of_trades_are_mined(spark):
+    own = [f"{a}{b} {c}{a}{b}" for a in ("KURSAN", "DONMIR", "VOTENG", "HARLUN") for b in ("A", "OBI", "EVA") for c in ("ZIR", "PAL")]
+    rows = [f"{n} {t}" for i, n in enumerate(own) for t in (("BAKERY", "BKRY SDN BHD") if i % 2 else ("HARDWARE", "H/WARE"))] + [f"{n} TEXTILES" for n in own[::3]]
+    df = spark.createDataFrame([(r,) for r in rows], "name string")
+    assert names.trade_words(df) == {"BKRY": "BAKERY", "HWARE": "HARDWARE"}
+    assert names.trade_words(df.limit(0)) == {}
+    org = {r.name: r.org for r in names.organisations(df).collect()}
+    assert all(org[f"{n} {a}"] == org[f"{n} {b}"] for i, n in enumerate(own) for a, b in [("BAKERY", "BKRY SDN BHD") if i % 2 else ("HARDWARE", "H/WARE")])
+    assert all(org[f"{n} TEXTILES"] != org[f"{n} {t}"] for i, n in enumerate(own) if i % 3 == 0 for t in [("BAKERY" if i % 2 else "HARDWARE")])
+
+
+def test_rare_words_count_more():
+    rare, common = 8.0, 2.0
+    one = [("CUKA", common), ("JIZANBE", rare)]
+    assert names.soft_similarity(one, one) == pytest.approx(1)
+    assert names.soft_similarity(one, [("CUKA", common), ("JIZNBE", rare)]) > 0.85
+    assert names.soft_similarity(one, [("CUKA", common), ("YARMOS", rare)]) < names.ALIKE < names.soft_similarity(one, [("C", common), ("JIZANBE", rare)])
+    assert names.soft_similarity(one, [("CUKI", common), ("JIZANBE", rare)]) > names.soft_similarity(one, [("CUKA", common), ("JIZANBEXY", rare)])
+    assert names.soft_similarity([], one) == 0.0
