@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import packed
+from ..session import cut
 
 #: A candidate is a delimiter of a source if its score reaches this.
 SCORE = 0.4
@@ -82,7 +83,7 @@ def candidates(df: DataFrame, text: str, source: str) -> DataFrame:
     for each candidate and piece count.
     """
     rows = df.select(F.col(source).alias("_s"), F.col(text).alias("_t")).where("length(_t) > 0")
-    made = rows.mapInPandas(_evidence, _EVIDENCE).groupBy("source", "by", "what", "value").agg(F.sum("n").alias("n"))
+    made = cut(rows.mapInPandas(_evidence, _EVIDENCE).groupBy("source", "by", "what", "value").agg(F.sum("n").alias("n")), "evidence")  # read more than once
     scope = F.explode(F.array(F.struct(F.lit(False).alias("whole"), F.col("source")), F.struct(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("source"))))
     counts = made.select(scope.alias("scope"), "by", "what", "value", "n").groupBy("scope.whole", "scope.source", "by", "what", "value").agg(F.sum("n").alias("n"))
     types = counts.where("what <> 'pieces'").groupBy("whole", "source", "value").agg(F.max(F.expr("what = 'first'")).alias("begins"), F.collect_list(F.when(F.col("what") == "type", F.struct("by", "n"))).alias("behind"))
