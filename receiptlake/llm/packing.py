@@ -93,7 +93,7 @@ def packed(df: DataFrame, key: str, size: Column, capacity: int = CAPACITY, step
     Items without tokens (null and empty texts) lie nowhere. Repeated keys are items of their own.
     """
     spark = df.sparkSession
-    sized = cut(df.select(F.col(key).alias("key"), size.cast("long").alias("n")).where("n > 0").withColumn("uid", F.monotonically_increasing_id()), "sized")
+    sized = cut(df.select(F.col(key).alias("key"), size.cast("long").alias("n"), F.monotonically_increasing_id().alias("uid")), "sized").where("n > 0")  # a filter before would measure twice
     full = F.floor(F.col("n") / capacity)
     rest = sized.select("key", "uid", (full + F.lit(1)).cast("int").alias("part"), (full * capacity).alias("first"), (F.col("n") - full * capacity).alias("size")).where("size > 0")
     counts = {r[0]: r[1] for r in rest.groupBy("size").agg(F.count("*")).collect()}

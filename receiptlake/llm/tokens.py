@@ -134,12 +134,13 @@ def token_ids(text: Column | str, name: str = "byte_bpe_50k", folder: str = FOLD
 
 
 def token_count(text: Column | str, name: str = "byte_bpe_50k", folder: str = FOLDER) -> Column:
+    """How many ids ``token_ids`` gives, which are those of the whole text; without the tree, as nothing is kept."""
     path = f"{folder}/{name}.tiktoken"
 
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = vocabulary(path)
         for texts in parts:
-            yield pd.Series([len(v.encode(t)) if t else 0 for t in texts], dtype="int64")
+            yield pd.Series([len(v.leaf(t)) if t else 0 for t in texts], dtype="int64")
 
     return F.pandas_udf(count, "bigint")(text)
 
