@@ -37,7 +37,7 @@ def grouped(df: DataFrame, key: str, links: dict[str, Column]) -> DataFrame:
     names = list(links)
     rows = df.select(F.col(key).alias("_k"), *[F.when(x.isNotNull(), F.concat(F.lit(f"{n.strip()}:"), x.cast("string"))).alias(f"_l{i}") for i, (n, x) in enumerate(links.items())])
     cols = [f"_l{i}" for i in range(len(names))]
-    rows = rows.withColumn("_first", F.coalesce(*cols))
+    rows = cut(rows, "links").withColumn("_first", F.coalesce(*cols))
     if len(cols) > 1:
         edges = rows.select("_first", F.explode(F.array(*cols[1:])).alias("_o")).where("_o IS NOT NULL AND _o <> _first").distinct()
         comp = components(edges.select(F.col("_first").alias("u"), F.col("_o").alias("v")))
