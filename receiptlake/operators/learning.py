@@ -188,3 +188,21 @@ def stacked(train: DataFrame, df: DataFrame, key: str, scores: list[str], label:
     """(key, fused): probability of a logistic model over several scores, fitted on train."""
     model = Pipeline(stages=[VectorAssembler(inputCols=scores, outputCol="_v", handleInvalid="skip"), LogisticRegression(featuresCol="_v", labelCol=label, maxIter=30, regParam=1e-3)]).fit(train)
     return model.transform(df).select(key, F.round(F.element_at(vector_to_array("probability"), 2), 6).alias("fused"))
+
+
+_MISSING: set[str] = set()
+
+
+def loaded(path: str, stages: int) -> PipelineModel | None:
+    """A model kept at path if it is there and has as many stages as it should; else None, which is remembered, so that a path without a
+    model is only tried once by a driver."""
+    if path in _MISSING:
+        return None
+    try:
+        model = PipelineModel.load(path)
+    except Exception:  # missing or broken: callers go on without  # noqa: BLE001
+        model = None
+    if model is None or len(model.stages) != stages:
+        _MISSING.add(path)
+        return None
+    return model

@@ -92,3 +92,9 @@ def synthetic_ratings(users: int, categories: list[str], per_user: int, spark: S
     at = F.when(pick("like", 100) < 60, own).otherwise(pick("other", len(categories)))
     rating = F.greatest(F.lit(1), F.least(F.lit(5), F.when(at == own, 4).otherwise(3) + pick("noise", 3) - 1))
     return rows.select("user", "nth", F.element_at(cats, at + 1).alias("category"), rating.alias("rating"))
+
+
+def unique_keys(df: DataFrame, key: str) -> DataFrame:
+    """One row a key, the least of its rows."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_b")).select(key, *[F.col(f"_b.{c}").alias(c) for c in rest])

@@ -400,11 +400,40 @@ SELECT event_id, CAST(n AS INTEGER) AS n_before, round(CASE WHEN n >= 5 THEN m E
 
 
 def stream_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """Purchases give points, sign-ups claim a title once if the balance allows; sequential by nature, so without SQL."""
+    """Events give points, errors claim a title once if the balance allows; each verdict depends on those before."""
     s = _events(spark, d).select("event_id", "ts", "user_id", F.when(_C("event_type") == "error", -20).otherwise(F.floor(_C("value") / 10)).cast("long").alias("points"), F.concat(F.lit("t"), F.pmod("event_id", F.lit(7)).cast("string")).alias("title"))
     return streams.run_once(streams.stateful(s, "user_id", streams.Ledger(), "event_id long, user_id long, accepted boolean, balance long"), "ledger", "update")
 
 
+SQL["stream_ledger"] = """
+WITH e AS (SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN -20 ELSE CAST(floor(value / 10) AS BIGINT) END AS p, 't' || (event_id % 7) AS t, ts FROM events),
+l AS (SELECT user_id, list({'e': event_id, 'p': p, 't': t} ORDER BY ts, event_id) AS es FROM e GROUP BY 1),
+f AS (SELECT user_id, list_reduce(list_transform(es, lambda x: {'b': 0::BIGINT, 'made': []::VARCHAR[], 'done': [{'e': x.e, 'p': x.p::BIGINT, 't': x.t, 'ok': false, 'b': 0::BIGINT}]}),
+ lambda s, x: {'b': CASE WHEN x.done[1].p >= 0 OR s.b + x.done[1].p >= 0 AND NOT list_contains(s.made, x.done[1].t) THEN s.b + x.done[1].p ELSE s.b END,
+  'made': CASE WHEN x.done[1].p < 0 AND s.b + x.done[1].p >= 0 AND NOT list_contains(s.made, x.done[1].t) THEN list_append(s.made, x.done[1].t) ELSE s.made END,
+  'done': list_append(s.done, {'e': x.done[1].e, 'p': x.done[1].p, 't': x.done[1].t, 'ok': x.done[1].p >= 0 OR s.b + x.done[1].p >= 0 AND NOT list_contains(s.made, x.done[1].t),
+   'b': CASE WHEN x.done[1].p >= 0 OR s.b + x.done[1].p >= 0 AND NOT list_contains(s.made, x.done[1].t) THEN s.b + x.done[1].p ELSE s.b END})},
+ {'b': 0::BIGINT, 'made': []::VARCHAR[], 'done': []::STRUCT(e BIGINT, p BIGINT, t VARCHAR, ok BOOLEAN, b BIGINT)[]}) AS r FROM l)
+SELECT u.e AS event_id, user_id, u.ok AS accepted, u.b AS balance FROM (SELECT user_id, unnest(r.done) AS u FROM f)"""
+
+
+def stream_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """What a stream of uploads leaves behind: accepted ones, rejected ones, and profiles summed over batches."""
+    root = writers.scratch(spark, "pipeline")
+    path = f"{d}/firestore_receipts.parquet"
+    s = streams.source(spark, path, spark.read.parquet(path).schema, "created_at").select(_C("export_id").alias("upload_id"), "user_id", "merchant", "total", _C("created_at").alias("ts"), "category")
+    streams.pipeline(s, root, ["user_id", "category"], "9000 days")
+    up = writers.committed(spark, root, "uploads")
+    rejected = writers.committed(spark, root, "rejected").count()
+    profiles = writers.committed(spark, root, "profiles").groupBy("user_id").agg(F.sum("n").alias("n_profile"))
+    per = up.groupBy("user_id").agg(F.count("*").alias("n_accepted"))
+    return per.join(profiles, "user_id").select("user_id", "n_accepted", "n_profile", F.lit(rejected).cast("bigint").alias("n_rejected"))
+
+
+SQL["stream_pipeline"] = """WITH b AS (SELECT *, user_id IS NULL OR coalesce(trim(merchant), '') = '' OR coalesce(total <= 0, true) AS bad FROM firestore_receipts),
+g AS (SELECT user_id, count(DISTINCT coalesce(category, '?')) AS n FROM b WHERE NOT bad GROUP BY 1) SELECT user_id, n AS n_accepted, n AS n_profile, (SELECT count(*) FROM b WHERE bad) AS n_rejected FROM g"""
+
+
 def text_classifier(spark: SparkSession, d: str) -> DataFrame:
     """Category of the records outside train, by a model of those in train."""
     rows = table(spark, d, "category_records").where("category_3class IS NOT NULL AND length(trim(text)) > 0").select("rec_id", "text", "category_3class", "split")
@@ -421,10 +450,48 @@ def isolated_receipts(spark: SparkSession, d: str) -> DataFrame:
 
 def factor_estimates(spark: SparkSession, d: str) -> DataFrame:
     """Ratings estimated from biases and factors for every pair of user and part type seen."""
-    r = table(spark, d, "orders").join(table(spark, d, "lineitem"), _C("o_orderkey") == _C("l_orderkey")).groupBy(_C("o_custkey").cast("int").alias("u"), F.pmod("l_partkey", F.lit(50)).cast("int").alias("i")).agg(F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.round(F.avg("l_quantity") / 10, 0))).alias("r"))
+    r = table(spark, d, "orders").join(table(spark, d, "lineitem"), _C("o_orderkey") == _C("l_orderkey")).groupBy(_C("o_custkey").cast("int").alias("u"), _C("l_partkey").cast("int").alias("i")).agg(F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.round(F.avg("l_quantity") / 10, 0))).alias("r"))
     return learning.estimate(r, "u", "i", learning.biased_factors(r, "u", "i", "r"))
 
 
+def factor_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of the factor model on five folds, each estimated from the other four."""
+    r = table(spark, d, "firestore_receipts").where("user_id IS NOT NULL AND merchant IS NOT NULL AND total IS NOT NULL")
+    r = r.groupBy(F.pmod(F.xxhash64("user_id"), F.lit(2**31 - 1)).cast("int").alias("u"), F.pmod(F.xxhash64("merchant"), F.lit(2**31 - 1)).cast("int").alias("i")).agg(F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.round(F.log1p(F.avg("total")), 0))).alias("r"))
+    return learning.cross_validated(r, "u", "i", "r", 5, 5)
+
+
+def classifier_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Three kinds of model by their macro F1 on the validation records, best first."""
+    rows = table(spark, d, "category_records").where("category_3class IS NOT NULL AND length(trim(text)) > 0").select("rec_id", "text", "category_3class", "split")
+    rows = sampling.unique_keys(rows, "rec_id")
+    _, _, scores = learning.selected(rows.where("split = 'train'"), rows.where("split = 'val'"), "text", "category_3class", "rec_id", trees=20)
+    return spark.createDataFrame([(k, round(float(f), 6)) for k, f in scores], "model string, macro_f1 double")
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("text IS NOT NULL AND doc_type IS NOT NULL")
+    lines = F.size(F.split("text", "\n")).cast("double")
+    digits = F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double")
+    return docs.select("doc_id", (_C("doc_type") == "receipt").cast("int").alias("y"), F.length("text").cast("double").alias("chars"), lines.alias("lines"), digits.alias("digits"), F.pmod("doc_id", F.lit(4)).alias("part"))
+
+
+def stacked_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Three scores stacked by a logistic model: its AUC on the documents it wasn't fitted on."""
+    f = _features(spark, d)
+    test = f.where("part = 0")
+    got = learning.stacked(f.where("part <> 0"), test, "doc_id", ["chars", "lines", "digits"], "y")
+    return evaluation.roc_auc(got.join(test, "doc_id"), "y", "fused")
+
+
+def feature_importance(spark: SparkSession, d: str) -> DataFrame:
+    """What boosted trees lose when the values of one feature go to other documents; the ten most important."""
+    f = _features(spark, d)
+    model = learning.boosted(f.where("part <> 0"), ["chars", "lines", "digits"], "y", 10)
+    top = learning.importance(model, f.where("part = 0"), "doc_id", ["chars", "lines", "digits"], "y")[:10]
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in top], "feature string, loss double")
+
+
 def image_features(spark: SparkSession, d: str) -> DataFrame:
     """Hash and features of images: each embedding drawn as an 8 by 8 pattern of 64 by 64 gray pixels."""
 
@@ -445,7 +512,7 @@ def image_features(spark: SparkSession, d: str) -> DataFrame:
 ALL = [
     auc_by_source, roc_curve, best_cut, class_confusion, class_report, class_overall, confidence_bins, operating_points, rank_correlation, price_errors, ranking_quality, injected_outliers, score_bootstrap, stratified_split,
     grouped_folds, fold_leaks, hashed_quarter, class_weights, learning_curve, rank_fusion, csv_round_trip, json_round_trip, payload_kinds, menu_texts, merged_merchants, new_users, repointed_paths, derived_twice, metrics_long,
-    union_sources, committed_batches, latest_uploads, looked_up, stream_first_of_key, stream_daily, stream_sessions, stream_interest, stream_medians, stream_ledger, text_classifier, isolated_receipts, factor_estimates, image_features,
+    union_sources, committed_batches, latest_uploads, looked_up, stream_first_of_key, stream_daily, stream_sessions, stream_interest, stream_medians, stream_ledger, stream_pipeline, text_classifier, classifier_choice, factor_folds, stacked_scores, feature_importance, isolated_receipts, factor_estimates, image_features,
 ]
 
 

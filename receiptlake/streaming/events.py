@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import STATE_STORE
-from ..sources.writers import scratch
+from ..sources.writers import batch_tables, scratch
 
 _SETTING = "spark.sql.streaming.stateStore.providerClass"
 
@@ -117,6 +117,30 @@ def stateful(stream: DataFrame, by: str, processor: StatefulProcessor, schema: s
     return stream.groupBy(by).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Update", timeMode="None")
 
 
+def pipeline(stream: DataFrame, root: str, keys: list[str], late: str = "30 days") -> None:
+    """Uploads (upload_id, user_id, merchant, total, ts) through one stream, in order: checked, first of their keys only, scored, written
+    whole with their batch, and counted into the profiles of their users. Batches that fail are done again and replace themselves.
+
+    Tables under root: ``uploads`` and ``rejected`` by batch, ``profiles`` (user_id, n, spent, last) by batch; ``committed`` reads
+    those whose batch is whole. Profiles are additions, summed when read, so that no batch rewrites another's.
+    """
+    spark = stream.sparkSession
+    if spark.conf.get(_SETTING, None) != STATE_STORE:
+        spark.conf.set(_SETTING, STATE_STORE)
+    bad = F.col("user_id").isNull() | F.coalesce(F.trim("merchant"), F.lit("")).isin("") | F.coalesce(F.col("total") <= 0, F.lit(True))
+    checked = stream.withColumn("why", F.when(bad, F.lit("invalid")))
+    first = without_repeats(checked.where("why IS NULL"), keys, "ts", late).unionByName(checked.where("why IS NOT NULL"))
+
+    def save(batch: DataFrame, i: int) -> None:
+        rows = batch.persist()
+        good = rows.where("why IS NULL").select("upload_id", "user_id", "merchant", "total", F.round(F.log1p("total"), 6).alias("score"))
+        seen = rows.where("why IS NULL").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("total"), 4).alias("spent"), F.max("ts").alias("last"))
+        batch_tables({"uploads": good, "rejected": rows.where("why IS NOT NULL").select("upload_id", "why"), "profiles": seen}, root, i)
+        rows.unpersist()
+
+    first.writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", f"{root}/_state").trigger(availableNow=True).start().awaitTermination()
+
+
 def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that is there, through the stream once, into a table of the shared folder; complete results keep the last batch."""
     spark = df.sparkSession
