@@ -13,7 +13,7 @@ from ..session import cut
 from . import postal
 from .groups import HELD, by_group, salted
 from .orgnames import damerau
-from .rewrites import mined
+from .rewrites import frequencies, mined
 
 _READ = "address string, unit string, floor string, section string, road string, post string, words array<string>, said array<string>"
 
@@ -34,12 +34,12 @@ def _tokens() -> Column:
     return F.array_distinct(F.concat("words", "said", F.array("road")))
 
 
-def rewrites(read: DataFrame) -> DataFrame:
-    """(a, b): words a that are another way to write b, mined from addresses that agree elsewhere: those of one unit, section and
+def rewrites(read: DataFrame, freq: dict[str, int]) -> dict[str, str]:
+    """{a: b}: words a that are another way to write b, mined from addresses that agree elsewhere: those of one unit, section and
     road, and those of one unit, section and postcode; see ``rewrites.mined``."""
     full = read.where("unit <> '' AND section <> ''").select("unit", "section", "road", "post", _tokens().alias("tokens"))
     keys = F.array_compact(F.array(F.when(F.col("road") != "", F.xxhash64(F.lit("road"), "unit", "section", "road")), F.when(F.length("post") == 5, F.xxhash64(F.lit("post"), "unit", "section", "post"))))
-    return mined(full.select(F.explode(keys).alias("key"), "tokens"), read.select(_tokens().alias("tokens")), postal.KINDS)
+    return mined(full.select(F.explode(keys).alias("key"), "tokens"), postal.KINDS, freq)
 
 
 def renormalised(addresses: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -49,9 +49,10 @@ def renormalised(addresses: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     rewrite is new. Each round has at least one more word that is rewritten, of which there are finitely many.
     """
     read = cut(addresses.mapInPandas(_reader({}), _READ), "read")
+    freq, _ = frequencies(read.select(_tokens().alias("tokens")))
     rules: dict[str, str] = {}
     while True:
-        new = {r.a: r.b for r in rewrites(read).collect() if r.a not in rules and r.b != r.a}
+        new = {a: b for a, b in rewrites(read, freq).items() if a not in rules and b != a}
         if not new:
             return read, rules
         rules |= new

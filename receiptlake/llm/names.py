@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from . import orgnames
 from .groups import HELD, by_group, salted
-from .rewrites import mined
+from .rewrites import frequencies, mined
 from .unionfind import components
 
 #: Letters from which on a word may be a slip of another, and from which on two edits count beside equal words.
@@ -47,8 +47,9 @@ def trade_words(names: DataFrame) -> dict[str, str]:
     texts = cut(names.select(F.pandas_udf(_tokens, "array<string>")("name").alias("tokens")), "tokens")
     long = F.filter("tokens", lambda w: F.length(w) >= 4)
     two = F.flatten(F.transform(long, lambda x, i: F.transform(F.slice(long, i + 2, F.size(long)), lambda y: F.xxhash64(x, y))))
-    found = mined(texts.where(F.size(long) > 1).select(F.explode(two).alias("key"), "tokens"), texts, orgnames.KNOWN)
-    return {r.a: r.b for r in found.where(F.col("b").isin(sorted(orgnames.KNOWN))).collect()}
+    freq, _ = frequencies(texts)
+    found = mined(texts.where(F.size(long) > 1).select(F.explode(two).alias("key"), "tokens"), orgnames.KNOWN, freq)
+    return {a: b for a, b in found.items() if b in orgnames.KNOWN}
 
 
 def names_of(*columns: DataFrame) -> DataFrame:
