@@ -43,9 +43,9 @@ def _tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def trade_words(names: DataFrame) -> dict[str, str]:
-    """Other ways to write the words of trades and legal forms, mined from names that have two longer words in common."""
+    """Other ways to write the words of trades and legal forms, mined from names that have two longer words in common that are none of these."""
     texts = cut(names.select(F.pandas_udf(_tokens, "array<string>")("name").alias("tokens")), "tokens")
-    long = F.filter("tokens", lambda w: F.length(w) >= 4)
+    long = F.filter("tokens", lambda w: (F.length(w) >= 4) & ~w.isin(sorted(orgnames.KNOWN)))
     two = F.flatten(F.transform(long, lambda x, i: F.transform(F.slice(long, i + 2, F.size(long)), lambda y: F.xxhash64(x, y))))
     freq, _ = frequencies(texts)
     found = mined(texts.where(F.size(long) > 1).select(F.explode(two).alias("key"), "tokens"), orgnames.KNOWN, freq)
