@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import STATE_STORE
-from ..sources.writers import batch_tables, scratch
+from ..sources.writers import _fs, batch_tables, scratch
 
 _SETTING = "spark.sql.streaming.stateStore.providerClass"
 
 
 def source(spark: SparkSession, path: str, schema, at: str = "ts") -> DataFrame:
-    """A stream of the Parquet files of a table, event time as timestamp."""
-    folder, _, name = path.rstrip("/").rpartition("/")
-    s = spark.readStream.schema(schema).option("pathGlobFilter", name if name.endswith(".parquet") else "*.parquet").parquet(folder if name.endswith(".parquet") else path)
-    return s.withColumn(at, F.col(at).cast("timestamp"))
+    """A stream of the Parquet files of a table, be it a folder of them or one file, event time as timestamp."""
+    r, (fs, p) = spark.readStream.schema(schema), _fs(spark, path)
+    if fs.isFile(p):  # streams read folders only, whatever their names end in
+        folder, _, name = path.rpartition("/")
+        r, path = r.option("pathGlobFilter", name), folder
+    return r.parquet(path).withColumn(at, F.col(at).cast("timestamp"))
 
 
 def without_repeats(stream: DataFrame, keys: list[str], at: str, late: str = "1 day") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from receiptlake import session
 from receiptlake.functions import hashing, scores, text
 from receiptlake.operators import dedup, evaluation, learning, ranking, sampling, windows
+from receiptlake.plans import quality
 from receiptlake.sources import readers, writers
 
 
@@ -117,3 +118,13 @@ def test_texts_scores_and_choices(spark):
     assert 0.7 < picks.where("c = 'x'").count() / 3000 < 0.8
     ratings = sampling.synthetic_ratings(200, ["a", "b", "c"], 10, spark)
     assert ratings.count() == 2000 and ratings.agg(F.min("rating"), F.max("rating")).first() == (2, 5)
+
+
+def test_streams_read_tables_of_many_files_as_those_of_one(spark, tmp_path):
+    name = "firestore_receipts.parquet"
+    want = sorted(quality.stream_pipeline(spark, "/root/testdata/sf0.001").collect())
+    rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}")
+    rows.repartition(3).write.parquet(f"{tmp_path}/{name}")
+    assert want and sorted(quality.stream_pipeline(spark, str(tmp_path)).collect()) == want
+    rows.limit(0).write.parquet(f"{tmp_path}/none/{name}")
+    assert quality.stream_pipeline(spark, f"{tmp_path}/none").count() == 0
