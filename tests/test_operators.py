@@ -4,10 +4,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from receiptlake import session
 from receiptlake.functions import images
-from receiptlake.operators import dedup, evaluation, learning, profiling, sampling, windows
+from receiptlake.operators import dedup, evaluation, forest, learning, profiling, sampling, windows
 from receiptlake.sources import readers, writers
 
 
@@ -88,6 +90,40 @@ def test_classifier_beats_the_commonest_class_on_held_out_rows(spark):
         assert got.agg(F.avg((F.col("predicted") == F.col("c")).cast("double"))).first()[0] > 0.9
 
 
+def test_models_are_told_apart_over_features_made_once(spark, monkeypatch):
+    made, features = [], learning.text_features
+    monkeypatch.setattr(learning, "text_features", lambda text: made.append(text) or features(text))
+    random.seed(7)
+    words = {"food": ["rice", "tea", "soup", "egg"], "shop": ["pen", "hose", "paper", "socks"], "fuel": ["pump", "litre", "ron", "diesel"]}
+    rows = [(i, " ".join(random.choices(words[c], k=4) + ["big"]), c) for i, c in enumerate(random.choices(sorted(words), k=300))]
+    df = spark.createDataFrame(rows, "k long, t string, c string")
+    kind, model, scores = learning.selected(df.where("k % 3 <> 0"), df.where("k % 3 = 0"), "t", "c", "k", trees=10)
+    assert made == ["t"] and {k for k, _ in scores} == {"lr", "svc", "rf"} and all(f > 0.9 for _, f in scores)
+    got = learning.classified(model, df.where("k % 3 = 0"), "k").join(df, "k")
+    assert kind == scores[0][0] and got.agg(F.avg((F.col("predicted") == F.col("c")).cast("double"))).first()[0] > 0.9
+
+
+def test_forest_over_more_features_than_rows_could_hold(spark):
+    rng, size = np.random.default_rng(3), 20_000
+    rows = []
+    for i in range(1500):
+        held = {int(x): float(v) for x, v in zip(rng.integers(3, size, 20), rng.uniform(0.05, 0.3, 20))}
+        rows.append((float(i % 3), Vectors.sparse(size, {**held, **({0: 0.5} if i % 3 == 1 else {0: 0.9} if i % 3 == 2 else {})})))
+    table = session.cut(spark.createDataFrame(rows, ["_y", "features"]))
+    model = forest.forest(table, "_y", size, [1.0, 1.0, 2.0], trees=1, depth=4)
+    assert model.transform(table).where("prediction <> _y").count() == 0 and (model.numFeatures, model.numClasses) == (size, 3)
+    many = forest.forest(table, "_y", size, [1.0, 1.0, 1.0], trees=7, depth=5)
+    saved = f"{session.run_dir(spark)}/a-forest"
+    many.save(saved)
+    n = {(r.treeID, r.nodeData.id): r.nodeData for r in spark.read.parquet(f"{saved}/data").collect()}
+    inner = [(t, x) for (t, _), x in n.items() if x.leftChild >= 0]
+    assert len({t for t, _ in n}) == 7 and len(inner) > 7 and max(t.depth for t in many.trees) <= 5
+    for t, x in inner:
+        sides = [n[t, x.leftChild], n[t, x.rightChild]]
+        assert x.gain > 0 and all(s.rawCount > 0 for s in sides) and x.impurityStats == [sum(v) for v in zip(*(s.impurityStats for s in sides))]
+    assert all(1300 < n[t, 0].rawCount < 1700 for t in range(7))
+
+
 def test_factor_model_and_unknown_sides(spark):
     random.seed(6)
     rows = [(u, i, float(min(5, max(1, 3 + (u % 3 - 1) + (i % 2))))) for u in range(30) for i in range(12) if random.random() < 0.7]
